@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_decontaminate": decontaminate.op2,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
