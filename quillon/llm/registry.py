@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, packing, simhash, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op9_token_files": token_files.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
