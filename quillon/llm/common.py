@@ -118,7 +118,8 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(over)
         self.doc = np.searchsorted(self.start, ends)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """A hash of each word, or of its first so many bytes."""
         n = len(self.data)
         if not n:
             return np.zeros(0, np.uint64)
@@ -135,6 +136,7 @@ class Words:
             sums = np.zeros(stop - base + 1, np.uint64)
             np.cumsum((self.data[base:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - base], out=sums[1:])
             s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
+            e = e if first is None else np.minimum(e, s + first)
             out[lo:hi] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
             lo = hi
         return out

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, token_files
+from . import decontaminate, linededup, packing, quality, simhash, token_files
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op7_quality_classifier": quality.op7,
+        "op8_line_dedup": linededup.op8,
         "op9_token_files": token_files.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_line_dedup": linededup.OP8_SQL,
+    }
