@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, packing, quality, simhash, token_files
+from . import decontaminate, licenses, linededup, packing, quality, simhash, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op3_license_scan": licenses.op3,
+        "op6_token_counts": token_counts.op6,
         "op7_quality_classifier": quality.op7,
         "op8_line_dedup": linededup.op8,
         "op9_token_files": token_files.op9,
@@ -18,5 +20,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": licenses.OP3_SQL,
         "op8_line_dedup": linededup.OP8_SQL,
     }
