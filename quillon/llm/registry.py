@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, linededup, packing, quality, simhash, token_counts, token_files
+from . import decontaminate, fingerprints, licenses, linededup, packing, passages, quality, simhash, token_counts, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1,
         "op2_decontaminate": decontaminate.op2,
         "op3_license_scan": licenses.op3,
+        "op4_substring_dedup": passages.op4,
         "op5_document_fingerprints": fingerprints.op5,
         "op6_token_counts": token_counts.op6,
         "op7_quality_classifier": quality.op7,
