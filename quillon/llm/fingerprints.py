@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import partitions, table
 
-#: A paragraph is a line; longer lines are paragraphs of up to 16 words each.
-PARAGRAPH = r"[^\s]+(?:[^\S\n]+[^\s]+){0,15}"
-#: Cells of each of the three sub-tables of the stored sketch, and of the sketches of retries.
-CELLS, RETRIES = 4, (8, 16, 64)
-_KIND = "struct<n:bigint,k:bigint,h:bigint>"
+#: A paragraph is a line; longer lines are paragraphs of up to 32 words each.
+PARAGRAPH = r"[^\s]+(?:[^\S\n]+[^\s]+){0,31}"
+#: Cells of each of the three sub-tables of the stored sketch, and of the sketches of retries (at most 20, as a key's cells
+#: are the bits of a long).
+CELLS, RETRIES = 4, (6, 12, 20)
 
 
 def _long(x: int) -> Column:
@@ -24,19 +24,32 @@ def digests(text: Column) -> Column:
 
 
 def _filed(keys: Column, m: int, sign: Column | None = None) -> Column:
-    """Keys with the three cells of each and a checksum; m also seeds the choice of cells, so a retry chooses anew."""
-    cell = lambda k, j: (F.pmod(F.xxhash64(k, F.lit(31 * m + j)), _long(m)) + j * m).cast("int")
+    """Keys with a checksum and the three cells of each, as bits; m also seeds the choice of cells, so a retry chooses anew."""
+
+    def cells(k: Column) -> Column:
+        # three digits to the base m of one hash
+        h = F.pmod(F.xxhash64(k, F.lit(31 * m)), _long(m**3))
+        at = lambda d: F.pmod(F.floor(h / m**d), _long(m)).cast("int")
+        return _bit(at(0)) + _bit(at(1) + m) + _bit(at(2) + 2 * m)
 
     def one(x: Column) -> Column:
         k = x if sign is None else x.k
         n = F.lit(1).cast("long") if sign is None else x.n
-        return F.struct(n.alias("n"), k.alias("k"), F.xxhash64(k, F.lit(7)).alias("h"), cell(k, 0).alias("a"), cell(k, 1).alias("b"), cell(k, 2).alias("c"))
+        return F.struct(n.alias("n"), k.alias("k"), F.xxhash64(k, F.lit(7)).alias("h"), cells(k).alias("at"))
 
     return F.transform(keys, one)
 
 
-def _at(filed: Column, i: Column) -> Column:
-    return F.filter(filed, lambda x: (x.a == i) | (x.b == i) | (x.c == i))
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", _long(1), i)
+
+
+def _at(filed: Column, bit: Column) -> Column:
+    return F.filter(filed, lambda x: x.at.bitwiseAND(bit) != 0)
+
+
+def _bits(m: int) -> Column:
+    return F.array(*[_long(1 << i) for i in range(3 * m)])
 
 
 def sketch(keys: Column, m: int) -> Column:
@@ -44,7 +57,7 @@ def sketch(keys: Column, m: int) -> Column:
     zero = F.struct(_long(0).alias("n"), _long(0).alias("k"), _long(0).alias("h"))
 
     def build(filed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(3 * m - 1)), lambda i: F.aggregate(_at(filed, i), zero, lambda s, x: F.struct((s.n + x.n).alias("n"), s.k.bitwiseXOR(x.k).alias("k"), s.h.bitwiseXOR(x.h).alias("h"))))
+        return F.transform(_bits(m), lambda i: F.aggregate(_at(filed, i), zero, lambda s, x: F.struct((s.n + x.n).alias("n"), s.k.bitwiseXOR(x.k).alias("k"), s.h.bitwiseXOR(x.h).alias("h"))))
 
     return _let(_filed(keys, m), build)
 
@@ -58,7 +71,7 @@ def subtract(one: Column, other: Column) -> Column:
     return F.zip_with(one, other, lambda x, y: F.struct((x.n - y.n).alias("n"), x.k.bitwiseXOR(y.k).alias("k"), x.h.bitwiseXOR(y.h).alias("h")))
 
 
-def peel(cells: Column, m: int, rounds: int = 8) -> Column:
+def peel(cells: Column, m: int, rounds: int = 6) -> Column:
     """The digests in one sketch only, recovered from the difference of two; null if a cell is left.
 
     A round takes the keys of all cells that hold a single one (n is 1 or -1 and the checksum is the key's) out of their
@@ -69,7 +82,7 @@ def peel(cells: Column, m: int, rounds: int = 8) -> Column:
         lone = F.array_distinct(F.transform(pure, lambda c: F.struct(c.n.alias("n"), c.k.alias("k"))))
 
         def take(filed: Column) -> Column:
-            left = F.transform(s.cells, lambda c, i: F.aggregate(_at(filed, i), c, lambda t, x: F.struct((t.n - x.n).alias("n"), t.k.bitwiseXOR(x.k).alias("k"), t.h.bitwiseXOR(x.h).alias("h"))))
+            left = F.zip_with(s.cells, _bits(m), lambda c, i: F.aggregate(_at(filed, i), c, lambda t, x: F.struct((t.n - x.n).alias("n"), t.k.bitwiseXOR(x.k).alias("k"), t.h.bitwiseXOR(x.h).alias("h"))))
             return F.when(F.size(filed) == 0, s).otherwise(F.struct(left.alias("cells"), F.concat(s.found, F.transform(filed, lambda x: x.k)).alias("found")))
 
         return _let(_filed(lone, m, F.lit(True)), take)
