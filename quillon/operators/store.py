@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EOF_POINTER
+from ..schema import POINTER
 from .lexical import chunk_lengths, postings
 
 #: Dataset -> the column that holds its document's id.
@@ -36,10 +36,10 @@ class Store:
 
     def settings(self) -> dict:
         """snapshot and embedding_model; empty before the first write."""
-        at = self._path(f"{self.root}/{EOF_POINTER}")
+        at = self._path(f"{self.root}/{POINTER}")
         if not self._fs.exists(at):
             return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/{EOF_POINTER}").collect()))
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/{POINTER}").collect()))
 
     def read(self, dataset: str) -> DataFrame:
         held = self.settings()
@@ -60,7 +60,7 @@ class Store:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         rename = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(tmp, self._path(f"{self.root}/{EOF_POINTER}"), rename)
+        context.rename(tmp, self._path(f"{self.root}/{POINTER}"), rename)
 
     def upsert(self, documents: DataFrame, sections: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, model: str | None = None) -> None:
         """Put documents (id, source, ...) with their sections and chunks (id, doc_id, context, text, ...) in place of those of the same source or id.

@@ -53,9 +53,9 @@ chunks AS (SELECT *, {tokens("text")} AS token_count FROM (SELECT e.doc_id, chun
   FROM pack JOIN e ON e.doc_id = pack.doc_id AND e.i = pack.i GROUP BY e.doc_id, chunk))
 """
 
-_OVER = "greatest(7 + p.u + e.u, (35 + p.o + e.o + p.n + 2) // 3) > 64"
+_OVER = "greatest(7 + p.u + e.u, (36 + p.o + e.o + p.n + 2) // 3) > 64"
 TABLE_CHUNKS = f"""WITH RECURSIVE r AS (SELECT l_orderkey AS doc_id, l_partkey || ' | ' || l_suppkey || ' | ' || CAST(l_quantity AS DECIMAL(12, 0)) || ' | ' || CAST(l_extendedprice AS DECIMAL(14, 2)) AS text,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem),
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(12, 0)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(14, 2)) AS VARCHAR)) AS i FROM lineitem),
 e AS (SELECT *, {units("text")} AS u, strlen(text) AS o FROM r),
 pack AS (SELECT doc_id, i, 0 AS chunk, 1 AS n, u, o FROM e WHERE i = 1 UNION ALL
   SELECT e.doc_id, e.i, CASE WHEN {_OVER} THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN {_OVER} THEN 1 ELSE p.n + 1 END, CASE WHEN {_OVER} THEN e.u ELSE p.u + e.u END, CASE WHEN {_OVER} THEN e.o ELSE p.o + e.o END
