@@ -41,14 +41,17 @@ class Tree:
     sums[k] = (characters, tokens)."""
 
     leaves: list[tuple[int, int]]
-    sums: np.ndarray = field(init=False)
+    sums: list[tuple[int, int]] = field(init=False)
 
     def __post_init__(self) -> None:
         size = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.sums = np.zeros((2 * size, 2), np.int64)
-        self.sums[size : size + len(self.leaves)] = np.array(self.leaves, np.int64).reshape(-1, 2)
+        self.sums = [(0, 0)] * size + self.leaves + [(0, 0)] * (size - len(self.leaves))
         for k in range(size - 1, 0, -1):
-            self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
+            self._add(k)
+
+    def _add(self, k: int) -> None:
+        a, b = self.sums[2 * k], self.sums[2 * k + 1]
+        self.sums[k] = (a[0] + b[0], a[1] + b[1])
 
     @property
     def size(self) -> int:
@@ -56,15 +59,15 @@ class Tree:
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.sums[1][1]
 
     def find(self, at: int) -> tuple[int, int]:
         """The segment that holds character `at`, and where it begins, by the sums from the root down."""
         k, before = 1, 0
         while k < self.size:
             k *= 2
-            if at >= before + self.sums[k, 0] and self.sums[k + 1, 0]:
-                before += int(self.sums[k, 0])
+            if at >= before + self.sums[k][0] and self.sums[k + 1][0]:
+                before += self.sums[k][0]
                 k += 1
         return k - self.size, before
 
@@ -78,7 +81,7 @@ class Tree:
             renewed = 0
             while level := {k // 2 for k in level} - {0}:
                 for k in level:
-                    self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
+                    self._add(k)
                 renewed += len(level)
             return renewed
         self.leaves[lo:hi] = leaves
@@ -101,19 +104,30 @@ def touched(tree: Tree, text: str, start: int, stop: int) -> tuple[int, int, int
     return lo, hi + 1, a, min(len(text), b + (tree.leaves[hi][0] if tree.leaves else 0))
 
 
-def edit(enc: UnitEncoder, tree: Tree, text: str, start: int, stop: int, insert: str, chars: int) -> tuple[str, int]:
-    """Replace text[start:stop] and renew the tree; the new text, and how many characters were encoded."""
-    if not tree.leaves:
-        tree.leaves[:] = build(enc, insert, chars).leaves
-        tree.__post_init__()
-        return insert, len(insert)
-    lo, hi, a, b = touched(tree, text, start, stop)
-    region = text[a:start] + insert + text[stop:b]
-    parts = segments(region, chars)
+@dataclass
+class Renewal:
+    """An edit made ready: the new text, the segments lo..hi that it touches and the new ones in their place."""
+
+    text: str
+    lo: int
+    hi: int
+    parts: list[str]
+
+
+def prepare(tree: Tree, text: str, start: int, stop: int, insert: str, chars: int) -> Renewal:
+    """Replace text[start:stop]; only the touched segments' characters have to be encoded."""
+    lo, hi, a, b = touched(tree, text, start, stop) if tree.leaves else (0, 0, 0, 0)
+    parts = segments(text[a:start] + insert + text[stop:b], chars)
     if len(parts) > 1 and len(parts[-1]) < chars // 2:
         parts[-2:] = [parts[-2] + parts[-1]]
-    tree.replace(lo, hi, list(zip(map(len, parts), _count(enc, parts))))
-    return text[:start] + insert + text[stop:], len(region)
+    return Renewal(text[:start] + insert + text[stop:], lo, hi, parts)
+
+
+def edit(enc: UnitEncoder, tree: Tree, text: str, start: int, stop: int, insert: str, chars: int) -> tuple[str, int]:
+    """Make one edit and renew the tree; the new text, and how many characters were encoded."""
+    new = prepare(tree, text, start, stop, insert, chars)
+    tree.replace(new.lo, new.hi, list(zip(map(len, new.parts), _count(enc, new.parts))))
+    return new.text, sum(map(len, new.parts))
 
 
 def count_edits(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
@@ -125,28 +139,36 @@ def count_edits(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
     gives an empty table."""
     import pyarrow as pa
 
-    leaf = pa.struct([("chars", pa.int64()), ("tokens", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("edited_tokens", pa.int64()), ("n_encoded", pa.int64()), ("leaves", pa.list_(leaf))])
-
     def run(it):
         enc = encoder(tokenizer)
         for batch in slices(it):
-            out = []
             texts = [x or "" for x in batch.column(2).to_pylist()]
-            # all trees of a batch are built with one call
+            edits = [x or [] for x in batch.column(1).to_pylist()]
+            # all trees of a batch are built with one call, and each round of edits is encoded with one
             cut = [segments(x, chars) for x in texts]
-            counts = _count(enc, [p for c in cut for p in c])
-            at = 0
-            for doc, edits, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, cut):
-                tree = Tree(list(zip(map(len, parts), counts[at : at + len(parts)])))
+            counts, at, trees = _count(enc, [p for c in cut for p in c]), 0, []
+            for parts in cut:
+                trees.append(Tree(list(zip(map(len, parts), counts[at : at + len(parts)]))))
                 at += len(parts)
-                before, encoded = tree.tokens, 0
-                for e in edits or []:
-                    stop = max(0, min(e["stop"], len(text)))
-                    text, n = edit(enc, tree, text, min(max(0, e["start"]), stop), stop, e["insert"] or "", chars)
-                    encoded += n
-                out.append((doc, before, tree.tokens, encoded, [{"chars": a, "tokens": b} for a, b in tree.leaves]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            before, encoded = [t.tokens for t in trees], [0] * len(trees)
+            for turn in range(max(map(len, edits), default=0)):
+                ready = []
+                for d, own in enumerate(edits):
+                    if turn < len(own):
+                        e, text = own[turn], texts[d]
+                        stop = max(0, min(e["stop"], len(text)))
+                        ready.append((d, prepare(trees[d], text, min(max(0, e["start"]), stop), stop, e["insert"] or "", chars)))
+                counts, at = _count(enc, [p for _, new in ready for p in new.parts]), 0
+                for d, new in ready:
+                    trees[d].replace(new.lo, new.hi, list(zip(map(len, new.parts), counts[at : at + len(new.parts)])))
+                    at += len(new.parts)
+                    texts[d] = new.text
+                    encoded[d] += sum(map(len, new.parts))
+            ends = np.cumsum([0, *(len(t.leaves) for t in trees)])
+            flat = np.array([x for t in trees for x in t.leaves], np.int64).reshape(-1, 2)
+            leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["chars", "tokens"]))
+            cols = [batch.column(0), pa.array(before, pa.int64()), pa.array([t.tokens for t in trees], pa.int64()), pa.array(encoded, pa.int64()), leaves]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "edited_tokens", "n_encoded", "leaves"])
 
     ready = docs.select(F.col("doc_id").cast("long"), F.col("edits").cast("array<struct<start:bigint,stop:bigint,insert:string>>"), F.col("text").cast("string"))
     return ready.mapInArrow(run, "doc_id long, n_tokens long, edited_tokens long, n_encoded long, leaves array<struct<chars:bigint,tokens:bigint>>")
