@@ -52,14 +52,19 @@ def _bits(m: int) -> Column:
     return F.array(*[_long(1 << i) for i in range(3 * m)])
 
 
+def _cells(filed: Column, m: int) -> Column:
+    zero = F.struct(_long(0).alias("n"), _long(0).alias("k"), _long(0).alias("h"))
+    return F.transform(_bits(m), lambda i: F.aggregate(_at(filed, i), zero, lambda s, x: F.struct((s.n + x.n).alias("n"), s.k.bitwiseXOR(x.k).alias("k"), s.h.bitwiseXOR(x.h).alias("h"))))
+
+
 def sketch(keys: Column, m: int) -> Column:
     """3 m cells: how many keys fall in each (n), their exclusive or (k), and that of their checksums (h)."""
-    zero = F.struct(_long(0).alias("n"), _long(0).alias("k"), _long(0).alias("h"))
+    return _let(_filed(keys, m), lambda filed: _cells(filed, m))
 
-    def build(filed: Column) -> Column:
-        return F.transform(_bits(m), lambda i: F.aggregate(_at(filed, i), zero, lambda s, x: F.struct((s.n + x.n).alias("n"), s.k.bitwiseXOR(x.k).alias("k"), s.h.bitwiseXOR(x.h).alias("h"))))
 
-    return _let(_filed(keys, m), build)
+def signed_sketch(keys: Column, m: int) -> Column:
+    """The difference of two versions' sketches, cell by cell, from their digests with n = 1 and n = -1."""
+    return _let(_filed(keys, m, F.lit(True)), lambda filed: _cells(filed, m))
 
 
 def _let(value: Column, body) -> Column:
@@ -91,27 +96,26 @@ def peel(cells: Column, m: int, rounds: int = 6) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.when(F.forall(s.cells, lambda c: (c.n == 0) & (c.k == 0) & (c.h == 0)), s.found))
 
 
-def _buckets(keys: Column, n: Column, by: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(by)), n) == g))
+def _buckets(signed: Column, n: Column, by: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.filter(signed, lambda x: F.pmod(F.xxhash64(x.k, F.lit(by)), n) == g))
 
 
 def difference(one: Column, other: Column, keys: Column, other_keys: Column) -> Column:
     """How many digests two texts don't share: peeled from their stored sketches; on failure from larger ones.
 
-    A larger sketch has a part for about eight digests, each a sketch of its own; parts are found in two steps, so that the
-    work for n digests is n times the root of n. A part that doesn't peel is tried again with more cells, and in the end
-    compared digest by digest."""
+    A larger sketch has a part for about eight digests, each a sketch of its own, made as the versions' difference at once (sketches
+    are linear); parts are found in two steps, so that the work for n digests is n times the root of n. A part that doesn't peel
+    is tried again with more cells, and in the end compared digest by digest."""
 
     def part(p: Column) -> Column:
-        tries = [F.size(peel(subtract(sketch(p.a, m), sketch(p.b, m)), m)) for m in RETRIES]
-        tries = [F.when(x >= 0, x) for x in tries]
-        return F.coalesce(*tries, F.size(F.array_except(p.a, p.b)) + F.size(F.array_except(p.b, p.a)))
-
-    def pairs(x: Column, y: Column, n: Column, by: int) -> Column:
-        return F.zip_with(_buckets(x, n, by), _buckets(y, n, by), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    side = F.ceil(F.sqrt((F.size(keys) + F.size(other_keys)) / 8)).cast("int")
-    larger = _let(F.greatest(side, F.lit(1)), lambda n: F.aggregate(F.flatten(F.transform(pairs(keys, other_keys, n, 101), lambda g: pairs(g.a, g.b, n, 202))), F.lit(0), lambda s, p: s + part(p)))
+        tries = [F.size(peel(signed_sketch(p, m), m)) for m in RETRIES]
+        of = lambda n: F.transform(F.filter(p, lambda x: x.n == n), lambda x: x.k)
+        return F.coalesce(*[F.when(x >= 0, x) for x in tries], F.size(p) - 2 * F.size(F.array_intersect(of(1), of(-1))))
+
+    sign = lambda c, n: F.transform(c, lambda k: F.struct(_long(n).alias("n"), k.alias("k")))
+    both = F.concat(sign(keys, 1), sign(other_keys, -1))
+    side = F.greatest(F.ceil(F.sqrt((F.size(keys) + F.size(other_keys)) / 8)).cast("int"), F.lit(1))
+    larger = _let(side, lambda n: F.aggregate(F.flatten(F.transform(_buckets(both, n, 101), lambda g: _buckets(g, n, 202))), F.lit(0), lambda s, p: s + part(p)))
     small = F.size(peel(subtract(one, other), CELLS))
     return F.coalesce(F.when(small >= 0, small), larger)
 
