@@ -105,7 +105,7 @@ def search(col, index: Index, window: int, k: int) -> tuple[np.ndarray, list[lis
             if index.first[length][f] == b" ".join(w.bytes(j) for j in range(a, a + length)):
                 d = int(owner[a])
                 base = int(w.doc[d])
-                if spans[d] and spans[d][-1] >= a - base:
+                if spans[d] and spans[d][-2] <= a - base <= spans[d][-1]:
                     spans[d][-1] = max(spans[d][-1], a - base + length)
                 else:
                     spans[d] += [a - base, a - base + length]
