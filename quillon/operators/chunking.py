@@ -145,3 +145,28 @@ def expand(chunks: DataFrame, targets: DataFrame, budget: int = 1600) -> DataFra
     every = before.select(cols).unionByName(after.select(cols)).unionByName(near.where("chunk = _at").select(cols))
     total = F.sum("token_count").over(Window.partitionBy("target"))
     return every.withColumn("total", F.when(total <= budget, total))
+
+
+#: Beginnings of page warnings that ask for a review.
+REVIEW = r"^(needs_ocr|ocr_|low_|replacement_|visual_|table_detection_failed)"
+
+
+def with_citations(chunks: DataFrame, elements: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """chunks (doc_id, chunk, first, last) with element_ids, citations and needs_review.
+
+    elements: doc_id, ordinal, id, source, page, bbox, extraction, confidence. A page and box is cited once, by the first element in it.
+    pages: doc_id, page, warnings; a chunk needs a review if a page it cites has such a warning."""
+    spans = chunks.select(F.col("doc_id").alias("_doc"), "chunk", "first", "last")
+    rows = elements.join(spans, (F.col("doc_id") == F.col("_doc")) & F.col("ordinal").between(F.col("first"), F.col("last")))
+    if pages is not None:
+        bad = pages.select("doc_id", "page", F.exists("warnings", lambda w: w.rlike(REVIEW)).alias("_bad"))
+        rows = rows.join(bad, ["doc_id", "page"], "left")
+    else:
+        rows = rows.withColumn("_bad", F.lit(False))
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id", "source", "page", "bbox", "extraction", "confidence")))
+    grouped_ = rows.groupBy("doc_id", "chunk").agg(ordered.alias("_items"), F.bool_or(F.coalesce("_bad", F.lit(False))).alias("needs_review"))
+    places = F.transform("_items", lambda x: F.struct(x.page.alias("page"), x.bbox.alias("bbox")))
+    firsts = F.filter("_items", lambda x, i: F.array_position(F.col("_places"), F.struct(x.page.alias("page"), x.bbox.alias("bbox"))) == i + 1)
+    cited = F.transform(firsts, lambda x: F.struct(x.source.alias("source"), x.page.alias("page"), x.bbox.alias("bbox"), x.id.alias("element_id"), x.extraction.alias("extraction"), x.confidence.alias("confidence")))
+    out = grouped_.withColumn("_places", places).select("doc_id", "chunk", "needs_review", F.array_distinct(F.transform("_items", lambda x: x.id)).alias("element_ids"), cited.alias("citations"))
+    return chunks.join(out, ["doc_id", "chunk"], "left")

@@ -15,7 +15,7 @@ def chunked(docs: DataFrame, max_tokens: int = 384) -> tuple[DataFrame, DataFram
     """Documents, sections and chunks of plain text rows (doc_id, text, source)."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     chunks = chunking.with_ids(chunking.pack(document_lines(docs), max_tokens, min(80, max_tokens)))
-    ids = docs.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), "doc_id").alias("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    ids = docs.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), "doc_id").alias("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text")
     sections = docs.select("doc_id", stable_id("doc_id", F.lit("root")).alias("id"), F.col("doc_id").alias("title"), F.lit(0).alias("level"))
     category = docs.select("doc_id", F.col("source").alias("category"))
     return ids, sections, chunks.join(category, "doc_id").withColumn("context", F.col("doc_id"))
