@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +84,11 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+@lru_cache(maxsize=1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(n, _BASE), powers(n, _INV)
+
+
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow string column; nulls count as empty."""
     import pyarrow as pa
@@ -124,9 +130,9 @@ class Words:
         if not n:
             return np.zeros(0, np.uint64)
         out = np.zeros(len(self.start), np.uint64)
-        step = 1 << 22  # in blocks, so that the 8-byte sums of long batches stay small
+        step = 1 << 18  # in blocks, so that the 8-byte sums of long batches stay small
         lo = 0
-        up, down = powers(min(n, 2 * step) + 1, _BASE), powers(min(n, 2 * step) + 1, _INV)
+        up, down = _tables(2 * step + 1)
         while lo < len(self.start):
             base = self.start[lo]
             hi = max(lo + 1, int(np.searchsorted(self.end, base + step, "right")))
@@ -151,7 +157,7 @@ def rows(batch_or_lists, schema):
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v, f in zip(batch_or_lists, schema)], schema=schema)
 
 
-def slices(it, chars: int = 8 << 20):
+def slices(it, chars: int = 4 << 20):
     """Cut Arrow batches so that each holds about so many bytes of text (its last column) or one row."""
     for batch in it:
         if not batch.num_rows:

@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, most_labelled: int = 6000, mo
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def vote(it):
-        for batch in slices(it):
+        for batch in slices(it, 2 << 20):
             quality, toxic = votes(look(batch.column(1), features=False))
             code = lambda v: pa.array(v @ 3 ** np.arange(v.shape[1]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), code(quality), code(toxic)], names=["doc_id", "q", "t"])
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, most_labelled: int = 6000, mo
     info = {r.doc_id: r for r in sample}
 
     def features(it):
-        for batch in slices(it):
+        for batch in slices(it, 2 << 20):
             seen = look(batch.column(1))
             pairs = np.unique(seen.owner.astype(np.int64) << BITS | seen.feature)
             ends = np.searchsorted(pairs, np.arange(batch.num_rows + 1, dtype=np.int64) << BITS)
@@ -260,7 +260,7 @@ def classify(docs: DataFrame, model: Model, least_quality: float = 0.5, most_tox
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
-        for batch in slices(it):
+        for batch in slices(it, 2 << 20):
             seen = look(batch.column(1))
             q, t = held.value.quality.score(seen), held.value.toxic.score(seen)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(t), pa.array((q >= least_quality) & (t < most_toxic))], names=["row", "quality", "toxic", "keep"])

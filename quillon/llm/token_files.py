@@ -51,7 +51,7 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Encode every text and write `path`: blocks/part=N/ in ascending doc_id order (nulls first; equal ids by text), and ranks/.
 
-    A block holds about 8 MB of text: doc_ids, lengths in ids (the end id counts), n, control, data. Spark's writers commit the files, so a
+    A block holds about 4 MB of text: doc_ids, lengths in ids (the end id counts), n, control, data. Spark's writers commit the files, so a
     lost executor's blocks are written again, and any store that Spark writes will do. Ids are kept once in the shared
     folder between the count of frequencies and the coding. Null and empty texts are the end id alone; repeated rows stay."""
     import pyarrow as pa
