@@ -44,8 +44,10 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", _long(1), i)
 
 
-def _at(filed: Column, bit: Column) -> Column:
-    return F.filter(filed, lambda x: x.at.bitwiseAND(bit) != 0)
+def _fold(filed: Column, bit: Column, start: Column, sign: int) -> Column:
+    """A cell with all keys that have its bit put in (sign 1) or taken out (sign -1)."""
+    put = lambda t, x: F.struct((t.n + x.n if sign > 0 else t.n - x.n).alias("n"), t.k.bitwiseXOR(x.k).alias("k"), t.h.bitwiseXOR(x.h).alias("h"))
+    return F.aggregate(filed, start, lambda t, x: F.when(x.at.bitwiseAND(bit) != 0, put(t, x)).otherwise(t))
 
 
 def _bits(m: int) -> Column:
@@ -54,7 +56,7 @@ def _bits(m: int) -> Column:
 
 def _cells(filed: Column, m: int) -> Column:
     zero = F.struct(_long(0).alias("n"), _long(0).alias("k"), _long(0).alias("h"))
-    return F.transform(_bits(m), lambda i: F.aggregate(_at(filed, i), zero, lambda s, x: F.struct((s.n + x.n).alias("n"), s.k.bitwiseXOR(x.k).alias("k"), s.h.bitwiseXOR(x.h).alias("h"))))
+    return F.transform(_bits(m), lambda i: _fold(filed, i, zero, 1))
 
 
 def sketch(keys: Column, m: int) -> Column:
@@ -87,7 +89,8 @@ def peel(cells: Column, m: int, rounds: int = 6) -> Column:
         lone = F.array_distinct(F.transform(pure, lambda c: F.struct(c.n.alias("n"), c.k.alias("k"))))
 
         def take(filed: Column) -> Column:
-            left = F.zip_with(s.cells, _bits(m), lambda c, i: F.aggregate(_at(filed, i), c, lambda t, x: F.struct((t.n - x.n).alias("n"), t.k.bitwiseXOR(x.k).alias("k"), t.h.bitwiseXOR(x.h).alias("h"))))
+            hit = F.aggregate(filed, _long(0), lambda t, x: t.bitwiseOR(x.at))
+            left = _let(hit, lambda bits: F.zip_with(s.cells, _bits(m), lambda c, i: F.when(bits.bitwiseAND(i) == 0, c).otherwise(_fold(filed, i, c, -1))))
             return F.when(F.size(filed) == 0, s).otherwise(F.struct(left.alias("cells"), F.concat(s.found, F.transform(filed, lambda x: x.k)).alias("found")))
 
         return _let(_filed(lone, m, F.lit(True)), take)
@@ -130,7 +133,7 @@ def printed(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c.n), 4, "0"), F.lpad(F.hex(c.k), 16, "0"), F.lpad(F.hex(c.h), 16, "0"))), ""))
 
 
-def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 3000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 1000) -> DataFrame:
     """docs with a struct next of the given columns of the next row by doc_id (nulls first; the first follows the last).
 
     Rows are dealt into ranges of doc_id of about per_bucket rows; each range also gets a copy of the next range's first
@@ -152,7 +155,8 @@ def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 3000) -> Da
     copies = dealt.join(F.broadcast(ghosts), (F.col("_range") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_first")))
     copies = copies.select(*docs.columns, F.col("_into").alias("_range"), F.when(F.col("_wrap"), 2).otherwise(1).alias("_ghost"))
     order = Window.partitionBy("_range").orderBy("_ghost", "doc_id", *[c for c in columns if c != "doc_id"])
-    both = own.unionByName(copies).withColumn("next", F.lead(F.struct(*columns)).over(order))
+    # few bytes but much work follow each row: a number of partitions of its own, which adaptive execution doesn't lower
+    both = own.unionByName(copies).repartition(max(partitions(docs.sparkSession), ranges // 2), "_range").withColumn("next", F.lead(F.struct(*columns)).over(order))
     return both.where("_ghost = 0").drop("_ghost", "_range")
 
 
