@@ -9,18 +9,13 @@ import numpy as np
 from .common import text_buffers
 
 #: White space besides space and newline, by which a text could be cut otherwise than at single spaces and newlines.
-_ODD = re.compile(r"[ \n][ \n]|[^\S \n]|^[ \n]|[ \n]$|[\x1c-\x1f\x85​⁠﻿᠎]|<\|")
+_ODD = re.compile(r"[ \n][ \n]|[^\S \n]|[\x1c-\x1f\x85​⁠﻿᠎]|<\|")
 
 
-def _suspect(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _suspect(raw: np.ndarray) -> np.ndarray:
     """Places of bytes by which a text may match _ODD: a quick look before the exact one."""
     out = (raw < 32) & (raw != 10)
     space = (raw == 32) | (raw == 10)
-    filled = ends[:-1][np.diff(ends) > 0]
-    edge = np.zeros(len(raw), np.bool_)
-    edge[filled] = True
-    edge[ends[1:][np.diff(ends) > 0] - 1] = True
-    out |= space & edge
     if len(raw) > 1:
         a, b = raw[:-1], raw[1:]
         two = space[:-1] & space[1:]
@@ -115,7 +110,7 @@ class UnitEncoder:
         cut[:-1] |= newline | (raw == 32)
         cut[1:] |= newline
         odd: dict[int, str] = {}
-        for i in np.unique(np.searchsorted(ends, np.flatnonzero(_suspect(raw, ends)), "right") - 1).tolist():
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(_suspect(raw)), "right") - 1).tolist():
             if _ODD.search(x := col[i].as_py()):
                 odd[i] = x
                 cut[ends[i] + 1 : ends[i + 1]] = False
