@@ -139,6 +139,31 @@ def test_passages(spark, odd_docs):
     assert passages.repeated_passages(odd_docs.limit(0)).count() == 0
 
 
+def test_passages_in_mid_sentence(spark):
+    """Random passages of 51 words and more among long sentences, or without any, against brute force."""
+    random.seed(16)
+    text = lambda n, dot: " ".join(f"v{random.randint(0, 10**6)}" + ("." if dot and i % dot == dot - 1 else "") for i in range(n))
+    rows = []
+    for i in range(60):
+        dot = random.choice([0, 12, 40, 70])
+        passage = text(random.choice([51, 52, 60, 79, 100]), dot)
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, text(random.randint(5, 90), dot) + " x" + str(d) + " " + passage + " y" + str(d) + " " + text(random.randint(5, 90), dot)))
+    rows += [(500 + i, text(200, 0)) for i in range(5)]
+    spans, where = {d: set() for d, _ in rows}, {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 50):
+            where.setdefault(tuple(w[i : i + 51]), []).append((d, i))
+    for v in where.values():
+        for d, i in v if len({d for d, _ in v}) > 1 else []:
+            spans[d] |= set(range(i, i + 51))
+    found = {d: set() for d, _ in rows}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert all(bool(found[d]) == bool(spans[d]) and found[d] <= spans[d] for d, _ in rows)
+
+
 def test_fingerprints(spark, odd_docs):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd_docs.where("doc_id <> 1 or doc_id is null").collect()))
     got = {r.doc_id: r for r in fingerprints.compare(odd_docs.where("doc_id <> 1 or doc_id is null")).collect()}
