@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near-duplicates stays, the one with the least doc_id: five-word shingles, likeness 0.8."""
+    return simhash.similar_dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

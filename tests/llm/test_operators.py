@@ -284,6 +284,29 @@ def test_simhash(spark, odd_docs):
     assert simhash.near_dedup(odd_docs.limit(0)).count() == 0
 
 
+def test_pipeline_near_dedup(spark, odd_docs):
+    """Likeness of five-word shingles decides, not three bits of fingerprints of three words."""
+    import corpus_pipeline
+
+    random.seed(18)
+    rows, grams = [], lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for i in range(40):
+        w = [f"n{random.randint(0, 10**6)}" for _ in range(random.choice([60, 150, 400]))]
+        rows.append((10 * i, " ".join(w)))
+        for k, share in enumerate((0.01, 0.02, 0.05)):
+            rows.append((10 * i + 1 + k, " ".join("edit" if random.random() < share else x for x in w)))
+    least = {d: d for d, _ in rows}
+    pairs = [(a, b) for a, s in rows for b, t in rows if a < b and a // 10 == b // 10 and len(grams(s) & grams(t)) >= 0.8 * len(grams(s) | grams(t))]
+    for _ in range(4):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), None).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
+    kept = corpus_pipeline.near_dedup(spark, odd_docs, None)
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 5, 6] and kept.columns == odd_docs.columns
+    assert corpus_pipeline.near_dedup(spark, odd_docs.limit(0), None).count() == 0
+
+
 def test_near_links_find_all_near_pairs(spark):
     random.seed(9)
     base = [random.getrandbits(64) for _ in range(40)]
