@@ -19,6 +19,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return found.where("line <> ''").select(F.xxhash64("line").alias("key"), "site")
 
 
+def _one_site(docs: DataFrame) -> DataFrame:
+    """(text, source) of each distinct text once, with the least of its sources."""
+    text = docs["text"].cast("string")
+    found = docs.select(F.md5(text).alias("digest"), text.alias("text"), docs["source"].cast("string").alias("source")).where("text is not null")
+    sites = found.groupBy("digest").agg(F.min("source").alias("source"), F.count("*").alias("n"))
+    copied = written(sites.where("n > 1").select("digest", "source"), "copied")
+    once = found.join(copied, "digest", "left_anti").select("text", "source")
+    several = found.join(copied.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text").join(copied, "digest")
+    return once.unionByName(several.select("text", "source"))
+
+
 def boilerplate_keys(docs: DataFrame, min_sites: int = 10, lg_k: int = 12) -> DataFrame:
     """Keys (XXH64, seed 42) of lines on at least min_sites distinct sources.
 
@@ -34,17 +45,19 @@ def boilerplate_keys(docs: DataFrame, min_sites: int = 10, lg_k: int = 12) -> Da
     return spread.where(F.col("sites") >= min_sites + error).select("key").unionByName(exact)
 
 
-def mark_lines(docs: DataFrame, min_sites: int = 10, most_share: float = 0.5, block_keys: int = 1_000_000) -> DataFrame:
+def mark_lines(docs: DataFrame, min_sites: int = 10, most_share: float = 0.5, block_keys: int = 1_000_000, distinct_texts: bool = False) -> DataFrame:
     """(row, text, n_lines, n_removed): every row of docs as a struct, and its text without boilerplate lines.
 
     A document of whose characters (blank lines apart) more than most_share lie in such lines is a copy of a document,
-    not one with boilerplate in it; it is left whole for document dedup. docs: doc_id, text, source and any others.
+    not one with boilerplate in it; it is left whole for document dedup. With distinct_texts, copies of a text count as one
+    site, its least, so that copies alone make no line boilerplate; that needs no share (most_share 1). docs: doc_id, text, source and any others.
     Null texts stay null with 0 lines, empty ones empty; repeated rows are each judged alike. An empty table stays empty.
     The keys are broadcast in blocks of block_keys (8 MB a million); more keys mean more passes over the documents."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    keys = written(boilerplate_keys(docs, min_sites), "boilerplate")
+    sites = written(_one_site(docs), "texts") if distinct_texts else docs
+    keys = written(boilerplate_keys(sites, min_sites), "boilerplate")
     blocks = max(1, -(-keys.count() // block_keys))
     marks = T.ArrayType(T.BooleanType())
     out = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.lit(None).cast(marks).alias("marks"), docs["text"].cast("string").alias("text"))
@@ -85,9 +98,9 @@ def mark_lines(docs: DataFrame, min_sites: int = 10, most_share: float = 0.5, bl
     return out
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 10, most_share: float = 0.5) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = 10, most_share: float = 0.5, distinct_texts: bool = False) -> DataFrame:
     """The documents, all their columns, with boilerplate lines cut from text. No document goes."""
-    out = mark_lines(docs, min_sites, most_share)
+    out = mark_lines(docs, min_sites, most_share, distinct_texts=distinct_texts)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

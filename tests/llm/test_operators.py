@@ -235,6 +235,19 @@ def test_line_dedup(spark, odd_docs):
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
 
 
+def test_pipeline_line_dedup(spark, odd_docs):
+    """Pages of little but boilerplate lose it; copies of a text on many sites keep their own lines."""
+    import corpus_pipeline
+
+    rows = [(i, f"own line {i} here\nHome | About | Contact", f"s{i}") for i in range(12)] + [(50, "Home | About | Contact\nHome | About | Contact\nx", "s1"), (51, "Home | About | Contact", "s2")]
+    rows += [(100 + i, "a copied text\nof two lines", f"s{i}") for i in range(20)] + [(200, None, "s1"), (201, "", None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text")), None).collect()}
+    assert all(got[i] == (f"own line {i} here", len(f"own line {i} here")) for i in range(12)) and got[50] == ("x", 1) and got[51] == ("", 0)
+    assert all(got[100 + i][0] == "a copied text\nof two lines" for i in range(20)) and got[200][0] is None and got[201][0] == ""
+    out = corpus_pipeline.line_dedup(spark, odd_docs, None)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+
+
 def test_token_files(spark, odd_docs, path, tmp_path):
     for values in ([], [0, 255, 256, 65535, 65536, 2**24, 2**32 - 1, 7]):
         v = np.array(values, np.uint32)
