@@ -164,6 +164,22 @@ def test_passages_in_mid_sentence(spark):
     assert all(bool(found[d]) == bool(spans[d]) and spans[d] <= found[d] for d, _ in rows)  # near runs may hold a few words more
 
 
+def test_passages_edited_in_long_lines(spark):
+    """A passage with an edit in every 60 words, inside different long lines, is found."""
+    random.seed(17)
+    text = lambda n, dot: [f"e{random.randint(0, 10**6)}" + ("." if dot and i % dot == dot - 1 else "") for i in range(n)]
+    rows = []
+    for i in range(10):
+        passage = text(240, 12)
+        edited = ["edit" if k % 24 == 17 and k % 48 == 17 else x for k, x in enumerate(passage)]
+        rows += [(2 * i, " ".join(text(96, 12) + passage + text(96, 12))), (2 * i + 1, " ".join(text(84, 12) + edited + text(120, 12)))]
+    rows.append((100, " ".join(text(300, 12))))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(20))
+    words = {d: sum(r.n_words for r in got if r.doc_id == d and r.removed) for d in range(1, 20, 2)}
+    assert all(n >= 180 for n in words.values()), words
+
+
 def test_passages_keep_each_class(spark):
     """X holds P1, shared with A, next to P2, shared with B: each stays once."""
     random.seed(19)
