@@ -51,8 +51,7 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[Bin]:
             room = gap + low
             # largest unpacked length up to x, and up to x - 1 where a length has one piece only
             upto = np.maximum.accumulate(np.where(pool > 0, axis, 0))
-            a = np.flatnonzero(pool[:room]) if room <= capacity else np.flatnonzero(pool)
-            a = a[(a < room) & (2 * a >= room)] if len(a) and (2 * a >= room).any() else a[a < room]
+            a = np.flatnonzero(pool[:room])
             if not len(a):
                 break
             b = upto[np.minimum(room - a, a)]

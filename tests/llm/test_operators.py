@@ -72,6 +72,11 @@ def test_best_two_fit():
         packing.best_two_fit({11: 1}, 10)
 
 
+def test_best_two_fit_with_two_small_pieces():
+    # 60 leaves 40; of 55, 49 and 49 two fill the room of 100 better than 60 does: 49 + 49, though 55 is over half of it
+    assert packing.best_two_fit({60: 1, 55: 1, 49: 2}, 100)[0].lengths == [(49, 2)]
+
+
 def test_pack_odd(spark, odd_docs, path):
     tok = Tokenizer.from_file(path("word_bpe_49k.json"))
     got = packing.pack(odd_docs, path("word_bpe_49k.json")).collect()
