@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,27 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
 
+#: Customary titles of the texts above.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """LICENSES, its full texts under their titles, and the full texts of license_texts, with their titles and without, with what
+    follows their terms and without."""
+    out = [*LICENSES, *[(name, f"{title}\n{text}") for name, text in LICENSES if "\n" in text for title in TITLES[name]]]
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        whole = path.read_text(encoding="utf-8").strip()
+        for text in (whole, whole[: whole.find(_END) + len(_END)] if _END in whole else whole):
+            out += [(path.stem, text), (path.stem, text.partition("\n\n")[2])]
+    return out
+
+
 _COPYRIGHT = r"^\W*(copyright|\(c\)|©|all rights reserved)"
 
 
@@ -74,7 +97,7 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents", "doc_id", "text"), known_licenses(spark))
+    return license_scan(table(spark, sf_dir, "documents", "doc_id", "text"), known_licenses(spark, known_texts()))
 
 
 def _op3_sql() -> str:

@@ -129,6 +129,22 @@ def test_licenses(spark, odd_docs):
     assert licenses.license_scan(odd_docs, known).count() == 0 and licenses.license_scan(odd_docs.limit(0), known).count() == 0
 
 
+def test_license_files(spark, tmp_path):
+    """Whole files of licences, with title and copyright line, as the registered query finds them."""
+    from pathlib import Path
+
+    mit = licenses.LICENSES[0][1]
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit), (2, "The MIT License (MIT)\nCopyright 2021 X\n" + mit), (3, "BSD 3-Clause License\n\nCopyright (c) 2020, Y\nAll rights reserved.\n\n" + licenses.LICENSES[3][1])]
+    want = {(1, "MIT"), (2, "MIT"), (3, "BSD-3-Clause")}
+    for i, path in enumerate(sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt"))):
+        rows.append((10 + i, path.read_text()))
+        want.add((10 + i, path.stem))
+    rows.append((50, "MIT License\nis a title only"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = licenses.op3(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.license) for r in got if r.scope == "text"} == want and len(want) >= 15
+
+
 def test_passages(spark, odd_docs):
     random.seed(6)
     text = lambda n: " ".join(random.choice("abcdefghij") + str(random.randint(0, 999)) + random.choice(["", "", "", "."]) for _ in range(n))
