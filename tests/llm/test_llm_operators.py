@@ -217,7 +217,7 @@ def test_passages_keep_each_class(spark):
 def test_fingerprints(spark, odd_docs):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd_docs.where("doc_id <> 1 or doc_id is null").collect()))
     got = {r.doc_id: r for r in fingerprints.compare(odd_docs.where("doc_id <> 1 or doc_id is null")).collect()}
-    pattern = re.compile(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,31}")
+    pattern = re.compile(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,15}")
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for i, (known, d, t) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][2]
