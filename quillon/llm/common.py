@@ -56,7 +56,15 @@ def written(df: DataFrame, name: str, *parts: str, codec: str = "zstd") -> DataF
     path = scratch(spark, name)
     schema = df.schema
     df.write.option("compression", codec).partitionBy(*parts).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:

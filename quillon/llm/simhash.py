@@ -121,7 +121,7 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_bands: int = 9) ->
     known = docs.where("doc_id is not null")
     texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(passages.units(texts, what, shingle).select("doc_id", "key").distinct(), "whole")
-    near = written(passages.near_units(texts, what, shingle, similarity, n_bands).distinct(), "near")
+    near = passages.near_units(texts, what, shingle, similarity, n_bands)
     fps = written(fingerprints(texts, shingle).distinct().join(found, "doc_id", "left"), "simhash")
     first = written(fps.where("key is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).getField("key").alias("head")), "heads")
     close = near_links(first.select("fp", F.col("fp").alias("node")))
