@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import table, written
 
 _EDGE = " \t\r"
 
@@ -45,62 +44,55 @@ def boilerplate_keys(docs: DataFrame, min_sites: int = 10, lg_k: int = 12) -> Da
     return spread.where(F.col("sites") >= min_sites + error).select("key").unionByName(exact)
 
 
-def mark_lines(docs: DataFrame, min_sites: int = 10, most_share: float = 0.5, block_keys: int = 1_000_000, distinct_texts: bool = False) -> DataFrame:
+#: What stands for the key of a blank line, and of one to remove.
+_BLANK, _BAD = 0, 1
+
+
+def mark_lines(docs: DataFrame, min_sites: int = 10, block_keys: int = 1_000_000, distinct_texts: bool = False) -> DataFrame:
     """(row, text, n_lines, n_removed): every row of docs as a struct, and its text without boilerplate lines.
 
-    A document of whose characters (blank lines apart) more than most_share lie in such lines is a copy of a document,
-    not one with boilerplate in it; it is left whole for document dedup. With distinct_texts, copies of a text count as one
-    site, its least, so that copies alone make no line boilerplate; that needs no share (most_share 1). docs: doc_id, text, source and any others.
-    Null texts stay null with 0 lines, empty ones empty; repeated rows are each judged alike. An empty table stays empty.
-    The keys are broadcast in blocks of block_keys (8 MB a million); more keys mean more passes over the documents."""
+    With distinct_texts, copies of a text count as one site, its least, so that copies alone make no line boilerplate.
+    docs: doc_id, text, source and any others. Null texts stay null with 0 lines, empty ones empty, texts of boilerplate alone become empty;
+    repeated rows are each judged alike. An empty table stays empty. Lines are cut and hashed, and texts put together, by Spark's
+    expressions; the hashes are looked up by array. The keys are broadcast in blocks of block_keys (8 MB a million); more keys mean more
+    passes over the documents."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     sites = written(_one_site(docs), "texts") if distinct_texts else docs
     keys = written(boilerplate_keys(sites, min_sites), "boilerplate")
     blocks = max(1, -(-keys.count() // block_keys))
-    marks = T.ArrayType(T.BooleanType())
-    out = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.lit(None).cast(marks).alias("marks"), docs["text"].cast("string").alias("text"))
+    lines = lambda text: F.split(text, "\n", -1)
+    bare = F.transform(lines(docs["text"].cast("string")), lambda x: F.trim(x, F.lit(_EDGE)))
+    key = F.transform(bare, lambda x: F.when(x == "", F.lit(_BLANK)).otherwise(F.xxhash64(x)))
+    out = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key.alias("keys"))
     for b in range(blocks):
         own = keys.where(F.pmod(F.col("key"), F.lit(blocks)) == b).toArrow().column(0).to_numpy()
-        held = spark.sparkContext.broadcast(np.sort(own))
-        last = b + 1 == blocks
-
-        def run(it, held=held, last=last):
-            import xxhash
-
-            digest, among = xxhash.xxh64_intdigest, set(held.value.view(np.uint64).tolist())
-            for batch in slices(it):
-                old, texts, more = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-                for k, text in enumerate(texts):
-                    lines = [] if text is None else text.split("\n")
-                    bare = [x.strip(_EDGE) for x in lines]
-                    bad = [x != "" and digest(x.encode(), 42) in among for x in bare]
-                    if old[k]:
-                        bad = [x or y for x, y in zip(bad, old[k])]
-                    if not last:
-                        more.append(bad)
-                        continue
-                    cut = sum(len(x) for x, y in zip(bare, bad) if y)
-                    if cut > most_share * sum(map(len, bare)):
-                        bad = [False] * len(bad)
-                    if any(bad):
-                        text = "\n".join(x for x, y in zip(lines, bad) if not y)
-                    more.append((text, sum(x != "" for x in bare), sum(bad)))
-                cols = list(zip(*more)) if last else [more]
-                kinds = [pa.string(), pa.int64(), pa.int64()] if last else [pa.list_(pa.bool_())]
-                arrays = [pa.array(c, t) for c, t in zip(cols, kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays] if last else [batch.column(0), *arrays, batch.column(2)], names=["row", "text", "n_lines", "n_removed"] if last else ["row", "marks", "text"])
-
-        tail = [T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
-        out = out.mapInArrow(run, T.StructType([out.schema.fields[0], *tail]) if last else out.schema)
-        out = out if last else written(out, "marks")
-    return out
-
-
-def line_dedup(docs: DataFrame, min_sites: int = 10, most_share: float = 0.5, distinct_texts: bool = False) -> DataFrame:
+        held = spark.sparkContext.broadcast(np.setdiff1d(own, [_BLANK, _BAD]))
+
+        def run(it, held=held):
+            for batch in it:
+                lists = batch.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
+                if len(held.value) and len(flat):
+                    at = np.minimum(np.searchsorted(held.value, flat), len(held.value) - 1)
+                    flat[held.value[at] == flat] = _BAD
+                sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(lists.offsets.to_numpy()))
+                ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["row", "keys"])
+
+        out = out.mapInArrow(run, out.schema)
+        out = out if b + 1 == blocks else written(out, "marks")
+    text = F.col("row.text").cast("string")
+    n = lambda which: F.size(F.filter("keys", which)).cast("long")
+    removed = n(lambda k: k == _BAD)
+    rest = F.array_join(F.filter(lines(text), lambda x, i: F.get("keys", i) != _BAD), "\n")
+    return out.select("row", F.when(removed > 0, rest).otherwise(text).alias("text"), n(lambda k: k != _BLANK).alias("n_lines"), removed.alias("n_removed"))
+
+
+def line_dedup(docs: DataFrame, min_sites: int = 10, distinct_texts: bool = False) -> DataFrame:
     """The documents, all their columns, with boilerplate lines cut from text. No document goes."""
-    out = mark_lines(docs, min_sites, most_share, distinct_texts=distinct_texts)
+    out = mark_lines(docs, min_sites, distinct_texts=distinct_texts)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -116,13 +108,9 @@ WITH lines AS (
 bare AS (SELECT *, trim(line, chr(32) || chr(9) || chr(13)) AS key FROM lines),
 wide AS (SELECT key FROM bare WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= 10),
 marked AS (SELECT bare.*, wide.key IS NOT NULL AS bad FROM bare LEFT JOIN wide ON bare.key = wide.key),
-judged AS (
-  SELECT doc_id, count(*) FILTER (key <> '') AS n_lines,
-         coalesce(sum(length(key)) FILTER (bad), 0) <= 0.5 * sum(length(key)) AS cut
-  FROM marked GROUP BY doc_id),
 kept AS (
-  SELECT m.doc_id, any_value(j.n_lines) AS n_lines, count(*) FILTER (bad AND cut) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT (bad AND cut)), '') AS text
-  FROM marked m JOIN judged j ON m.doc_id = j.doc_id GROUP BY m.doc_id)
+  SELECT doc_id, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (bad) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad), '') AS text
+  FROM marked GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_left, sha256(text) AS text_sha256 FROM kept
 """
