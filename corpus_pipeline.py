@@ -17,7 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many sites go from the texts, also from texts of little else; copies of a text are one site. n_chars follows.
     No document goes."""
-    out = linededup.line_dedup(docs, most_share=1.0, distinct_texts=True)
+    out = linededup.line_dedup(docs, distinct_texts=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
