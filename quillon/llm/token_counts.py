@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import slices, table, written
 from .tokens import UnitEncoder, encoder
 
 #: The tokenizer parts texts before a single space between other characters, whatever stands further off.
@@ -72,7 +73,7 @@ class Tree:
         return k - self.size, before
 
     def replace(self, lo: int, hi: int, leaves: list[tuple[int, int]]) -> int:
-        """Segments lo..hi become `leaves`; the number of sums that are renewed."""
+        """Segments lo..hi become `leaves`; the number of sums that are renewed: the paths above them, or all if there are more or fewer."""
         if len(leaves) == hi - lo:
             level = {self.size + i for i in range(lo, hi)}
             for i, leaf in zip(range(lo, hi), leaves):
@@ -115,11 +116,19 @@ class Renewal:
 
 
 def prepare(tree: Tree, text: str, start: int, stop: int, insert: str, chars: int) -> Renewal:
-    """Replace text[start:stop]; only the touched segments' characters have to be encoded."""
+    """Replace text[start:stop]; only the touched segments' characters have to be encoded.
+
+    The touched segments' text is cut into as many again (some may be empty), so that only sums above them change; only if they would
+    hold more than 2 `chars` characters each, they become more, and the tree is made anew."""
     lo, hi, a, b = touched(tree, text, start, stop) if tree.leaves else (0, 0, 0, 0)
-    parts = segments(text[a:start] + insert + text[stop:b], chars)
-    if len(parts) > 1 and len(parts[-1]) < chars // 2:
-        parts[-2:] = [parts[-2] + parts[-1]]
+    own, n = text[a:start] + insert + text[stop:b], hi - lo
+    if len(own) <= 2 * chars * n:
+        parts = segments(own, -(-len(own) // n)) if own else []
+        parts += [""] * (n - len(parts))
+    else:
+        parts = segments(own, chars)
+        if len(parts) > 1 and len(parts[-1]) < chars // 2:
+            parts[-2:] = [parts[-2] + parts[-1]]
     return Renewal(text[:start] + insert + text[stop:], lo, hi, parts)
 
 
@@ -130,29 +139,65 @@ def edit(enc: UnitEncoder, tree: Tree, text: str, start: int, stop: int, insert:
     return new.text, sum(map(len, new.parts))
 
 
-def count_edits(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
-    """(doc_id, n_tokens, edited_tokens, n_encoded, leaves): token counts before and after each document's edits, characters encoded
-    for the edits, and the final tree's segments.
+_LEAVES = "array<struct<chars:bigint,tokens:bigint>>"
+_EDITS = "array<struct<start:bigint,stop:bigint,insert:string>>"
 
-    docs: doc_id, text, edits array<struct<start, stop, insert>>, in code points, applied one after another; places beyond the
-    text are its end. Null texts are empty, null edits none; repeated rows and null doc_ids are counted like any other; an empty table
-    gives an empty table."""
+
+def _arrow_leaves(trees: list[Tree]):
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *(len(t.leaves) for t in trees)])
+    flat = np.array([x for t in trees for x in t.leaves], np.int64).reshape(-1, 2)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["chars", "tokens"]))
+
+
+def token_trees(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
+    """docs with a column leaves: the (chars, tokens) of the segments of each whole text, to be kept beside it for count_edits.
+
+    docs: doc_id, text and any others but leaves. Null and empty texts have no segments; repeated rows each have their own; an
+    empty table gives an empty table."""
     import pyarrow as pa
 
     def run(it):
         enc = encoder(tokenizer)
         for batch in slices(it):
-            texts = [x or "" for x in batch.column(2).to_pylist()]
-            edits = [x or [] for x in batch.column(1).to_pylist()]
-            # all trees of a batch are built with one call, and each round of edits is encoded with one
-            cut = [segments(x, chars) for x in texts]
+            # all trees of a batch are built with one call
+            cut = [segments(x or "", chars) for x in batch.column(1).to_pylist()]
             counts, at, trees = _count(enc, [p for c in cut for p in c]), 0, []
             for parts in cut:
                 trees.append(Tree(list(zip(map(len, parts), counts[at : at + len(parts)]))))
                 at += len(parts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_leaves(trees)], names=["row", "leaves"])
+
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    out = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructType.fromDDL(f"leaves {_LEAVES}").fields[0]]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "leaves")
+
+
+def count_edits(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
+    """(doc_id, n_tokens, edited_tokens, n_encoded, leaves): token counts before and after each document's edits, characters encoded
+    for the edits, and the segments of the tree after them, for the next edits.
+
+    docs: doc_id, text, leaves (as token_trees or an earlier call gave them for this text and these chars) and edits
+    array<struct<start, stop, insert>>, in code points, applied one after another; places beyond the text are its end. Only what
+    edits touch is encoded. Null texts are empty, null edits none; repeated rows and null doc_ids are counted like any other; an empty table
+    gives an empty table; leaves that don't add up to their text are an error."""
+    import pyarrow as pa
+
+    def run(it):
+        enc = encoder(tokenizer)
+        for batch in slices(it):
+            texts = [x or "" for x in batch.column(3).to_pylist()]
+            edits = [x or [] for x in batch.column(1).to_pylist()]
+            kept = batch.column(2)
+            flat, ends = kept.flatten(), np.append(0, np.cumsum(np.nan_to_num(kept.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))
+            pairs = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist()))
+            trees = [Tree(pairs[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            if any(t.sums[1][0] != len(x) for t, x in zip(trees, texts)):
+                raise ValueError("leaves and text differ in length")
             before, encoded = [t.tokens for t in trees], [0] * len(trees)
             for turn in range(max(map(len, edits), default=0)):
-                ready = []
+                ready = []  # each round of edits of a batch is encoded with one call
                 for d, own in enumerate(edits):
                     if turn < len(own):
                         e, text = own[turn], texts[d]
@@ -164,26 +209,25 @@ def count_edits(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
                     at += len(new.parts)
                     texts[d] = new.text
                     encoded[d] += sum(map(len, new.parts))
-            ends = np.cumsum([0, *(len(t.leaves) for t in trees)])
-            flat = np.array([x for t in trees for x in t.leaves], np.int64).reshape(-1, 2)
-            leaves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["chars", "tokens"]))
-            cols = [batch.column(0), pa.array(before, pa.int64()), pa.array([t.tokens for t in trees], pa.int64()), pa.array(encoded, pa.int64()), leaves]
+            cols = [batch.column(0), pa.array(before, pa.int64()), pa.array([t.tokens for t in trees], pa.int64()), pa.array(encoded, pa.int64()), _arrow_leaves(trees)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "edited_tokens", "n_encoded", "leaves"])
 
-    ready = docs.select(F.col("doc_id").cast("long"), F.col("edits").cast("array<struct<start:bigint,stop:bigint,insert:string>>"), F.col("text").cast("string"))
-    return ready.mapInArrow(run, "doc_id long, n_tokens long, edited_tokens long, n_encoded long, leaves array<struct<chars:bigint,tokens:bigint>>")
+    ready = docs.select(F.col("doc_id").cast("long"), F.col("edits").cast(_EDITS), F.col("leaves").cast(_LEAVES), F.col("text").cast("string"))
+    return ready.mapInArrow(run, f"doc_id long, n_tokens long, edited_tokens long, n_encoded long, leaves {_LEAVES}")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document gets two edits: 40 characters in its middle give way to its first 25, and its last 10 go."""
+    """Each document gets two edits: 40 characters in its middle give way to its first 25, and its last 10 go. The trees are kept in a
+    table beside the texts, and the edits are counted from that."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = written(token_trees(table(spark, sf_dir, "documents", "doc_id", "text"), path), "trees")
     n = F.length(F.coalesce("text", F.lit("")))
     half = F.floor(n / 2)
     kind = "struct<start:bigint,stop:bigint,insert:string>"
     first = F.struct(half.cast("long").alias("start"), F.least(half + 40, n).cast("long").alias("stop"), F.substring("text", 1, 25).alias("insert")).cast(kind)
     after = n - F.least(half + 40, n) + half + F.least(n, F.lit(25))
     last = F.struct(F.greatest(after - 10, F.lit(0)).cast("long").alias("start"), after.cast("long").alias("stop"), F.lit("").alias("insert")).cast(kind)
-    out = count_edits(docs.select("doc_id", "text", F.array(first, last).alias("edits")), public_tokenizers.path("byte_bpe_50k.json"))
+    out = count_edits(docs.select("doc_id", "text", "leaves", F.array(first, last).alias("edits")), path)
     return out.select("doc_id", "n_tokens", "edited_tokens", "n_encoded", F.size("leaves").cast("long").alias("n_segments"))

@@ -249,7 +249,23 @@ def test_token_counts(spark, odd_docs, path):
     for edits in (one, F.lit(None)):
         docs = odd_docs.withColumn("edits", edits)
         want = sorted((n(r.text or ""), n((r.text or "")[:2] + " new end") if r.edits else n(r.text or "")) for r in docs.withColumn("edits", docs.edits.isNotNull() if edits is one else F.lit(False)).collect())
-        assert sorted((r.n_tokens, r.edited_tokens) for r in token_counts.count_edits(docs, path("byte_bpe_50k.json")).collect()) == want
+        kept = token_counts.token_trees(docs, path("byte_bpe_50k.json"))
+        assert kept.columns == [*docs.columns, "leaves"]
+        got = token_counts.count_edits(kept, path("byte_bpe_50k.json")).collect()
+        assert sorted((r.n_tokens, r.edited_tokens) for r in got) == want and all(sum(x.tokens for x in r.leaves) == r.edited_tokens for r in got)
+    assert token_counts.count_edits(token_counts.token_trees(odd_docs.limit(0).withColumn("edits", one), path("byte_bpe_50k.json")), path("byte_bpe_50k.json")).count() == 0
+
+
+def test_token_tree_work(path):
+    """An edit renews the sums above what it touches, not all."""
+    enc = tokens.UnitEncoder(path("byte_bpe_50k.json"))
+    text = "word and " * 20000
+    tree = token_counts.build(enc, text, 64)
+    for at in (0, 90000, len(text) - 5):
+        new = token_counts.prepare(tree, text, at, at + 3, "other thing", 64)
+        assert sum(map(len, new.parts)) < 600 and tree.replace(new.lo, new.hi, list(zip(map(len, new.parts), token_counts._count(enc, new.parts)))) < 60
+        text = new.text
+    assert tree.tokens == len(Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids)
 
 
 def test_quality(spark, odd_docs):
