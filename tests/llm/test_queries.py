@@ -31,7 +31,7 @@ def tables(spark, tmp_path_factory):
             text = " ".join(w + "%%%" for w in text.split())
         if toxic:
             text += f" zorkish vexing grumble{i % 2}"
-        if i % 5 == 0:
+        if i % 4 == 1:
             text += "\nShared footer of all pages"
         if i % 40 == 3:
             text = bench[0][1] + " " + text
