@@ -55,7 +55,8 @@ def written(df: DataFrame, name: str, *parts: str, codec: str = "zstd") -> DataF
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    df.write.option("compression", codec).partitionBy(*parts).parquet(path)
+    # small row groups: a writer holds one in memory
+    df.write.option("compression", codec).option("parquet.block.size", 16 << 20).partitionBy(*parts).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
     return out
@@ -165,7 +166,7 @@ def rows(batch_or_lists, schema):
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v, f in zip(batch_or_lists, schema)], schema=schema)
 
 
-def slices(it, chars: int = 4 << 20):
+def slices(it, chars: int = 2 << 20):
     """Cut Arrow batches so that each holds about so many bytes of text (its last column) or one row."""
     for batch in it:
         if not batch.num_rows:

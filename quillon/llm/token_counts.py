@@ -159,8 +159,8 @@ def token_trees(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
     import pyarrow as pa
 
     def run(it):
-        enc = encoder(tokenizer)
-        for batch in slices(it):
+        enc = encoder(tokenizer, 300_000)
+        for batch in slices(it, 1 << 20):
             # all trees of a batch are built with one call
             cut = [segments(x or "", chars) for x in batch.column(1).to_pylist()]
             counts, at, trees = _count(enc, [p for c in cut for p in c]), 0, []
@@ -185,8 +185,8 @@ def count_edits(docs: DataFrame, tokenizer: str, chars: int = 512) -> DataFrame:
     import pyarrow as pa
 
     def run(it):
-        enc = encoder(tokenizer)
-        for batch in slices(it):
+        enc = encoder(tokenizer, 300_000)
+        for batch in slices(it, 1 << 20):
             texts = [x or "" for x in batch.column(3).to_pylist()]
             edits = [x or [] for x in batch.column(1).to_pylist()]
             kept = batch.column(2)

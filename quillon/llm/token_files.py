@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def tokenised(it):
         part, block = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
-        for batch in slices(it):
+        for batch in slices(it, 4 << 20):
             ids, ends = enc.encode(batch.column(1))
             n = len(ends) - 1
             ids = np.insert(ids, ends[1:], end_id).astype("<u4" if ids.itemsize == 4 else "<u2")

@@ -9,7 +9,7 @@ import numpy as np
 from .common import text_buffers
 
 #: White space besides space and newline, by which a text could be cut otherwise than at single spaces and newlines.
-_ODD = re.compile(r"[ \n][ \n]|[^\S \n]|[\x1c-\x1f\x85​⁠﻿᠎]|<\|")
+_ODD = re.compile(r"[ \n][ \n]|[^\S \n]|[\x1c-\x1f\x85\u200b\u2060\ufeff\u180e]|<\|")
 
 
 def _suspect(raw: np.ndarray) -> np.ndarray:
@@ -144,8 +144,9 @@ class UnitEncoder:
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """This worker's encoder for a tokenizers file."""
+def encoder(path: str, most: int = 1_000_000) -> UnitEncoder:
+    """This worker's encoder for a tokenizers file; it keeps `most` units at most."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
+        _ENCODERS[path] = UnitEncoder(path, most)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
