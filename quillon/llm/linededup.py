@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import release, table, written
 
 _EDGE = " \t\r"
 
@@ -61,6 +61,8 @@ def mark_lines(docs: DataFrame, min_sites: int = 10, block_keys: int = 1_000_000
     spark = docs.sparkSession
     sites = written(_one_site(docs), "texts") if distinct_texts else docs
     keys = written(boilerplate_keys(sites, min_sites), "boilerplate")
+    if distinct_texts:
+        release(sites)
     blocks = max(1, -(-keys.count() // block_keys))
     lines = lambda text: F.split(text, "\n", -1)
     bare = F.transform(lines(docs["text"].cast("string")), lambda x: F.trim(x, F.lit(_EDGE)))

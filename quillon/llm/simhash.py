@@ -109,19 +109,19 @@ def near_dedup(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFram
     return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
-def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_bands: int = 9) -> DataFrame:
+def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_bands: int = 16, n_rows: int = 5) -> DataFrame:
     """The documents that stay: of each group linked by a Jaccard likeness of `similarity` of five-word shingles, the one with
     the least doc_id (of repeated rows of it, one). Columns, null doc_ids and empty tables are treated as by near_dedup.
 
     Likeness of 0.8 may differ in a dozen bits of a fingerprint, more than segments can look up. So documents meet by MinHash
-    bands too (of two of likeness 0.8, 99.8 % share one of 9; of 0.9, all but one of 120,000, by computation), and as five-word fingerprints
+    bands too (of two of likeness 0.8, 99.8 % share one of 16 of 5 rows; of 0.9, all but one in a million, by computation), and as five-word fingerprints
     within 3 bits; exact likeness decides on either. Texts of equal words are one node from the start; texts of fewer
     words than a shingle are alike if they are equal, so those without words are."""
     shingle, what = passages.SHINGLE, ("documents",)
     known = docs.where("doc_id is not null")
     texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(passages.units(texts, what, shingle).select("doc_id", "key").distinct(), "whole")
-    near = passages.near_units(texts, what, shingle, similarity, n_bands)
+    near = passages.near_units(texts, what, shingle, similarity, n_bands, n_rows)
     fps = written(fingerprints(texts, shingle).distinct().join(found, "doc_id", "left"), "simhash")
     first = written(fps.where("key is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).getField("key").alias("head")), "heads")
     close = near_links(first.select("fp", F.col("fp").alias("node")))
