@@ -32,8 +32,11 @@ def ingest(args) -> dict:
     store = Store(spark, args.index)
     docs = _documents(spark, args.path).dropDuplicates(["doc_id"])
     store.upsert(*chunked(docs, args.max_tokens))
-    metrics = evaluate.chunk_metrics(store.read("chunks")).first().asDict()
-    return {"config": {"max_tokens": args.max_tokens}, "index": store.stats(), "metrics": metrics}
+    chunks = store.read("chunks")
+    metrics = evaluate.chunk_metrics(chunks).first().asDict()
+    # a row for each document, beside the snapshots: it grows with the corpus, so it is no part of what is printed
+    evaluate.document_report(chunks).write.mode("overwrite").parquet(f"{store.root}/report")
+    return {"config": {"max_tokens": args.max_tokens}, "index": store.stats(), "metrics": metrics, "report": f"{store.root}/report"}
 
 
 def reindex(args) -> dict:
@@ -64,13 +67,12 @@ def find(args) -> dict:
 
 
 def judge(args) -> dict:
-    """Evaluate labelled cases: sources count as found by name, evidence by the text of all hits."""
+    """Evaluate labelled cases: a page counts as found if a hit cites it, sources go by name, evidence by the text of all hits."""
     spark = _session()
     store = Store(spark, args.index)
     cases = files.read_cases(spark, args.cases).withColumn("query_id", F.xxhash64("query")).dropDuplicates(["query_id"])
     found = hits(store, cases.select("query_id", F.col("query").alias("text")), args.k, args.mode, args.variants)
-    sources = store.read("documents").select(F.col("id").alias("doc_id"), "source")
-    cited = found.join(sources, "doc_id").select("query_id", F.col("place").alias("rank"), "text", F.array(F.struct("source", F.lit(1).alias("page"))).alias("citations"))
+    cited = found.select("query_id", F.col("place").alias("rank"), "text", "citations")
     summary = evaluate.retrieval_metrics(evaluate.page_matches(cited, cases)).first().asDict()
     texts = cited.groupBy("query_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
     scored = cases.join(texts, "query_id", "left").select(evaluate.evidence(F.coalesce("answer_evidence", F.array().cast("array<array<string>>")), F.coalesce("text", F.lit(""))).alias("e"))

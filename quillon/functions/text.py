@@ -48,13 +48,8 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf(T.StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else x.casefold())
-
-
 def fold_case(text: Column) -> Column:
-    """Case folding of the scripts that lower() and one more rule cover; casefold is the whole of it."""
+    """Case folding of the scripts that lower() and one more rule cover."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
@@ -103,9 +98,21 @@ def answer_text(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(fold_case(text), F.lit(WORD), F.lit(0)), " ")
 
 
+@F.pandas_udf(T.StringType())
+def without_marks(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+
+
+def plain_letters(text: Column) -> Column:
+    """Lower case without diacritics; only texts with letters beyond Latin-1 go to Python."""
+    low = F.lower(text)
+    far = low.rlike(r"[^\x00-\xff]")
+    return F.when(far, without_marks(F.when(far, low))).otherwise(F.translate(low, MARKED, PLAIN))
+
+
 def index_terms(text: Column) -> Column:
     """Terms of the lexical index: lower case, without diacritics, letters and digits."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(plain_letters(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def basename(path: Column) -> Column:

@@ -18,15 +18,26 @@ def margin_side(top: Column, bottom: Column, height: Column | float = HEIGHT) ->
 
 def margin_counts(elements: DataFrame) -> DataFrame:
     """(doc_id, side, key, pages): on how many pages of its document a margin's text stands, numbers apart."""
-    placed = elements.withColumn("side", margin_side(F.col("y0"), F.col("y1"))).where("side is not null")
+    height = F.col("_height") if "_height" in elements.columns else HEIGHT
+    placed = elements.withColumn("side", margin_side(F.col("y0"), F.col("y1"), height)).where("side is not null")
     return placed.groupBy("doc_id", "side", margin_key(F.col("text"), False).alias("key")).agg(F.count_distinct("page").alias("pages"))
 
 
-def boilerplate(elements: DataFrame) -> DataFrame:
-    """elements with side and excluded: margins whose text repeats on enough pages, or is a page number, are headers and footers."""
-    pages = elements.groupBy("doc_id").agg(F.max("page").alias("page_count"))
-    keyed = elements.withColumn("side", margin_side(F.col("y0"), F.col("y1"))).withColumn("key", F.when(F.col("side").isNotNull(), margin_key(F.col("text"), False)))
-    joined = keyed.join(margin_counts(elements), ["doc_id", "side", "key"], "left").join(pages, "doc_id")
+def _with_height(elements: DataFrame, pages: DataFrame | None) -> DataFrame:
+    if pages is None:
+        return elements.withColumn("_height", F.lit(HEIGHT))
+    return elements.join(pages.select("doc_id", "page", F.col("height").alias("_height")), ["doc_id", "page"], "left").withColumn("_height", F.coalesce("_height", F.lit(HEIGHT)))
+
+
+def boilerplate(elements: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """elements with side and excluded: margins whose text repeats on enough pages, or is a page number, are headers and footers.
+
+    pages: doc_id, page, height of all pages, blank ones too; without it pages are HEIGHT high, and the last one with elements is a
+    document's last."""
+    counts = (elements if pages is None else pages).groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    tall = _with_height(elements, pages)
+    keyed = tall.withColumn("side", margin_side(F.col("y0"), F.col("y1"), F.col("_height"))).withColumn("key", F.when(F.col("side").isNotNull(), margin_key(F.col("text"), False)))
+    joined = keyed.join(margin_counts(tall), ["doc_id", "side", "key"], "left").join(counts, "doc_id")
     repeated = F.col("pages") >= F.greatest(F.lit(3.0), F.col("page_count") * 0.25)
     number = F.col("text").rlike(r"(?i)^(?:page\s*)?\p{Nd}+(?:\s*(?:of|/)\s*\p{Nd}+)?$")
     excluded = F.col("side").isNotNull() & F.coalesce(repeated | number, F.lit(False))
@@ -101,26 +112,30 @@ def drop_contents(elements: DataFrame) -> DataFrame:
 
 
 def page_quality(elements: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, characters, tables, ocr_confidence, sparse, corrupt, needs_ocr): what a page holds, and whether it asks for OCR.
+    """(doc_id, page, characters, tables, ocr_confidence, sparse, corrupt, needs_ocr, warnings): what a page holds, and what asks for a review.
 
-    images: doc_id, page, region_ratio (of the largest image), dominated (of all)."""
+    images: doc_id, page, region_ratio: a row for each page with images, and the largest one's share of the page. A page with an image needs
+    OCR if it is sparse, or the image dominates it (0.65) and there are fewer than 300 characters; replacement characters don't
+    make it need OCR, they are a warning of their own."""
     chars = F.sum(F.length("text"))
-    bad = F.sum(F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit(""))))
+    bad = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit(""))))
     confidence = F.avg("confidence") if "confidence" in elements.columns else F.lit(None).cast("double")
-    pages = elements.groupBy("doc_id", "page").agg(chars.alias("characters"), F.count_if(F.col("kind") == "table").alias("tables"), confidence.alias("ocr_confidence"), (chars < 80).alias("sparse"), (bad > 0.03 * chars).alias("corrupt"))
-    if images is None:
-        return pages.withColumn("needs_ocr", F.lit(False))
-    joined = pages.join(images, ["doc_id", "page"], "left")
-    needs = F.coalesce(F.col("region_ratio") > 0.2, F.lit(False)) & (F.col("sparse") | F.col("corrupt") | ((F.coalesce("dominated", F.lit(0.0)) > 0.65) & (F.col("characters") < 300)))
-    return joined.select(*pages.columns, needs.alias("needs_ocr"))
+    pages = elements.groupBy("doc_id", "page").agg(chars.alias("characters"), F.count_if(F.col("kind") == "table").alias("tables"), confidence.alias("ocr_confidence"), (chars < 80).alias("sparse"), (bad > 0.03 * F.greatest(chars, F.lit(1))).alias("corrupt"))
+    ratio = F.lit(None).cast("double") if images is None else F.col("region_ratio")
+    joined = pages if images is None else pages.join(images.select("doc_id", "page", "region_ratio"), ["doc_id", "page"], "left")
+    needs = F.coalesce(ratio.isNotNull() & (F.col("sparse") | ((ratio > 0.65) & (F.col("characters") < 300))), F.lit(False))
+    seen = F.coalesce(ratio > 0.2, F.lit(False))
+    warnings = F.array_compact(F.array(F.when(needs, "needs_ocr").when(seen, "visual_content_requires_review"), F.when(F.col("corrupt"), "replacement_characters_in_native_text"), F.when(F.col("sparse"), "sparse_page")))
+    return joined.select(*pages.columns, needs.alias("needs_ocr"), warnings.alias("warnings"))
 
 
 def fragments(lines: DataFrame) -> DataFrame:
-    """(doc_id, fragment, page, x0, y0, x1, y1, font_size, bold, n, text): runs of lines joined to a block. A new one begins at a page, a
-    change of weight, a jump of more than one point in size, or a line that starts like an item of a list."""
+    """(doc_id, fragment, page, x0, y0, x1, y1, font_size, bold, n, text): runs of lines joined to a block. A new one begins at a page, at
+    a block of the page where lines have one, a change of weight, a jump of more than one point in size, or a line that starts like an item of a list."""
     w = Window.partitionBy("doc_id").orderBy("ordinal")
-    item = F.col("text").rlike(r"(?i)^(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?\s|[•\x{f0b7}\x{fffd}]|\([a-z0-9ivx]+\))")
-    change = (F.lag("page").over(w) != F.col("page")) | (F.lag("bold").over(w) != F.col("bold")) | (F.abs(F.lag("font_size").over(w) - F.col("font_size")) > 1) | item
+    item = F.col("text").rlike(r"(?i)^(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?\s|[•\x{f0b7}\x{fffd}]|\([a-zivx]+\))")
+    block = (F.lag("block").over(w) != F.col("block")) if "block" in lines.columns else F.lit(False)
+    change = (F.lag("page").over(w) != F.col("page")) | block | (F.lag("bold").over(w) != F.col("bold")) | (F.abs(F.lag("font_size").over(w) - F.col("font_size")) > 1) | item
     marked = lines.withColumn("_new", F.when(F.coalesce(change, F.lit(True)), 1).otherwise(0))
     marked = marked.withColumn("fragment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     chars = F.greatest(F.length("text"), F.lit(0))
@@ -220,7 +235,11 @@ def sound_tables(tables: DataFrame) -> DataFrame:
     return tables.where(wide & (filled >= F.least(F.lit(2), F.size("rows"))))
 
 
-def header_row(tables: DataFrame, keywords: str = r"(?i)\b(item|description|quantity|amount|requirement|compliance|s\.? ?no|name|unit|price|remarks)\b") -> DataFrame:
+#: Words of which one at least stands in a table's header.
+HEADER_WORDS = r"(?i)\b(item|description|particulars?|qty|quantity|specifications?|requirements?|criteria|parameter|unit|amount|rate|details|s\.?\s?no)\b"
+
+
+def header_row(tables: DataFrame, keywords: str = HEADER_WORDS) -> DataFrame:
     """tables with header: the first row where all its cells are short and one is a telling word, else Column 1, Column 2, ..."""
     first = F.element_at("rows", 1)
     plausible = F.forall(first, lambda c: F.length(c) < 120) & F.exists(first, lambda c: c.rlike(keywords))

@@ -120,6 +120,35 @@ def chunk_metrics(spark, d):
     return evaluate.chunk_metrics(chunking.pack(_lines(spark, d), split=False).withColumn("context", F.col("doc_id").cast("string")))
 
 
+@_query(Q.PACKED + "SELECT doc_id, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunks GROUP BY doc_id")
+def ingest_report(spark, d):
+    return evaluate.document_report(chunking.pack(_lines(spark, d), split=False)).select("doc_id", "chunks", "tokens")
+
+
+@_query(Q.PACKED + f"""SELECT c.doc_id, c.chunk, count(DISTINCT ordinal // 40) AS n_citations, count(*) AS n_elements, min(ordinal // 40) + 1 AS first_page, bool_or(ordinal // 40 = 2) AS needs_review
+FROM chunks c JOIN ({Q.LINES}) l ON l.doc_id = c.doc_id AND l.ordinal BETWEEN c.first AND c.last GROUP BY c.doc_id, c.chunk""")
+def citations(spark, d):
+    lines = _lines(spark, d)
+    page = (F.floor(F.col("ordinal") / 40) + 1).cast("int")
+    elements = lines.select("doc_id", "ordinal", X.stable_id("doc_id", "ordinal").alias("id"), F.col("category").alias("source"), page.alias("page"), F.array(F.lit(0.0)).alias("bbox"), F.lit("native").alias("extraction"), F.lit(1.0).alias("confidence"))
+    pages = elements.select("doc_id", "page").distinct().withColumn("warnings", F.when(F.col("page") == 3, F.array(F.lit("needs_ocr"))).otherwise(F.array(F.lit("sparse_page"))))
+    out = chunking.with_citations(chunking.pack(lines, split=False).select("doc_id", "chunk", "first", "last"), elements, pages)
+    return out.select("doc_id", "chunk", F.size("citations").cast("long").alias("n_citations"), F.size("element_ids").cast("long").alias("n_elements"), F.element_at("citations", 1).page.cast("long").alias("first_page"), "needs_review")
+
+
+@_query("""WITH hits AS (SELECT item_id, r, 'd' || (item_id + r) AS source, item_id * r % 3 + 1 AS page FROM benchmark, unnest([1, 2, 3]) t(r)),
+wanted AS (SELECT item_id, 'd' || (item_id + 2) AS source, unnest([1, 3]) AS page FROM benchmark),
+m AS (SELECT w.item_id, min(r) AS first, count(DISTINCT CASE WHEN r IS NOT NULL THEN w.page END) AS found FROM wanted w LEFT JOIN hits h ON h.item_id = w.item_id AND h.source = w.source AND h.page = w.page GROUP BY w.item_id)
+SELECT item_id AS query_id, first, found, 2 AS wanted FROM m""")
+def page_eval(spark, d):
+    asked = S.read(spark, d, "benchmark", "item_id").select(F.col("item_id").alias("query_id"))
+    file = lambda n: F.concat(F.lit("folder/d"), n.cast("string"))
+    rank = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")
+    hits = asked.select("query_id", rank).select("query_id", "rank", F.array(F.struct(file(F.col("query_id") + F.col("rank")).alias("source"), (F.col("query_id") * F.col("rank") % 3 + 1).cast("int").alias("page"))).alias("citations"))
+    cases = asked.select("query_id", F.array(F.struct(F.concat(F.lit("d"), (F.col("query_id") + 2).cast("string")).alias("source"), F.array(F.lit(1), F.lit(3)).alias("pages"))).alias("relevant"))
+    return evaluate.page_matches(hits, cases)
+
+
 @_query(Q.TABLE_CHUNKS)
 def table_chunks(spark, d):
     lines = S.read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -154,9 +183,23 @@ def section_paths(spark, d):
     return placed.select("doc_id", "ordinal", "section_id", F.array_join("section_path", " > ").alias("path"))
 
 
-@_query(Q.LAYOUT + """SELECT doc_id, page, sum(length(text)) AS characters, sum(length(text)) < 80 AS sparse, sum(length(text) - length(replace(text, chr(65533), ''))) > 0.03 * sum(length(text)) AS corrupt FROM layout GROUP BY ALL""")
+@_query(Q.LAYOUT + """, p AS (SELECT doc_id, page, sum(length(text)) AS characters, sum(length(text)) < 80 AS sparse, sum(length(text) - length(replace(text, chr(65533), ''))) / greatest(1, sum(length(text))) > 0.03 AS corrupt,
+  CASE WHEN (doc_id + page) % 2 = 0 THEN (doc_id + page) % 10 / 10.0 END AS ratio FROM layout GROUP BY ALL),
+q AS (SELECT *, coalesce(ratio IS NOT NULL AND (sparse OR ratio > 0.65 AND characters < 300), false) AS needs_ocr FROM p)
+SELECT doc_id, page, characters, sparse, corrupt, needs_ocr, concat_ws(',', CASE WHEN needs_ocr THEN 'needs_ocr' WHEN ratio > 0.2 THEN 'visual_content_requires_review' END,
+  CASE WHEN corrupt THEN 'replacement_characters_in_native_text' END, CASE WHEN sparse THEN 'sparse_page' END) AS warnings FROM q""")
 def page_quality(spark, d):
-    return layout.page_quality(_layout(spark, d)).select("doc_id", "page", "characters", "sparse", "corrupt")
+    lines = _layout(spark, d)
+    at = F.col("doc_id") + F.col("page")
+    images = lines.select("doc_id", "page").distinct().where(at % 2 == 0).select("doc_id", "page", (at % 10 / 10.0).alias("region_ratio"))
+    return layout.page_quality(lines, images).select("doc_id", "page", "characters", "sparse", "corrupt", "needs_ocr", F.array_join("warnings", ",").alias("warnings"))
+
+
+@_query("""SELECT order_key, CASE WHEN order_key % 3 = 0 THEN 'Column 1|Column 2' WHEN order_key % 3 = 1 THEN 'Particulars|Qty' ELSE 'Rate|S. No' END AS header FROM (SELECT DISTINCT l_orderkey AS order_key FROM lineitem)""")
+def table_headers(spark, d):
+    keys = S.read(spark, d, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("order_key")).distinct()
+    first = F.when(F.col("order_key") % 3 == 0, F.array(F.lit("Compliance"), F.lit("Price"))).when(F.col("order_key") % 3 == 1, F.array(F.lit("Particulars"), F.lit("Qty"))).otherwise(F.array(F.lit("Rate"), F.lit("S. No")))
+    return layout.header_row(keys.withColumn("rows", F.array(first))).select("order_key", F.array_join("header", "|").alias("header"))
 
 
 @_query(Q.LAYOUT + Q.FRAGMENTS)

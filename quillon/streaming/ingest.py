@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_id
-from ..operators import chunking
 from ..operators.store import Store
-from ..sources.tables import document_lines
+from ..operators.structure import structured_chunks
 
 
 def chunked(docs: DataFrame, max_tokens: int = 384) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, sections and chunks of plain text rows (doc_id, text, source)."""
+    """Documents, sections and chunks (with context, section path and citations) of plain text rows (doc_id, text, source)."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
-    chunks = chunking.with_ids(chunking.pack(document_lines(docs), max_tokens, min(80, max_tokens)))
+    chunks, sections = structured_chunks(docs.select("doc_id", "text", "source"), max_tokens)
     ids = docs.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), "doc_id").alias("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text")
-    sections = docs.select("doc_id", stable_id("doc_id", F.lit("root")).alias("id"), F.col("doc_id").alias("title"), F.lit(0).alias("level"))
-    category = docs.select("doc_id", F.col("source").alias("category"))
-    return ids, sections, chunks.join(category, "doc_id").withColumn("context", F.col("doc_id"))
+    return ids, sections.select("doc_id", "id", "title", "level", "parent_id", "page", "path"), chunks
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, max_tokens: int = 384):

@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import text as X
 from quillon.operators import chunking, dense, evaluate, fusion, layout, lexical, search, sections
 
 
@@ -151,3 +152,31 @@ def test_table_grids(spark):
     assert [r.id for r in layout.sound_tables(df).collect()] == [3]
     heads = {r.id: r.header for r in layout.header_row(df).collect()}
     assert heads[3] == ["Item", "Price"] and heads[1] == ["Column 1", "Column 2"]
+
+
+def test_line_starts_of_fragments(spark):
+    """(a) begins an item, (1) doesn't; a block ends a fragment."""
+    rows = [(1, i, 1, 0.0, 0.0, 9.0, 9.0, 11.0, False, t, b) for i, (t, b) in enumerate([("intro", 1), ("(1) x", 1), ("(a) y", 1), ("2.1 z", 1), ("tail", 2)])]
+    lines = spark.createDataFrame(rows, "doc_id int, ordinal int, page int, x0 double, y0 double, x1 double, y1 double, font_size double, bold boolean, text string, block int")
+    got = [r.text for r in layout.fragments(lines).orderBy("fragment").collect()]
+    assert got == ["intro\n(1) x", "(a) y", "2.1 z", "tail"]
+
+
+def test_page_warnings_and_heights(spark):
+    text = [(1, 1, "\ufffd" * 10 + "x" * 100), (1, 2, "short"), (1, 3, "w" * 200)]
+    elements = spark.createDataFrame([(*r, "paragraph") for r in text], "doc_id int, page int, text string, kind string")
+    images = spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.7)], "doc_id int, page int, region_ratio double")
+    got = {r.page: (r.needs_ocr, r.warnings) for r in layout.page_quality(elements, images).collect()}
+    assert got == {1: (False, ["replacement_characters_in_native_text"]), 2: (True, ["needs_ocr", "sparse_page"]), 3: (True, ["needs_ocr"])}
+    rows = [(1, p, p, 50.0, 20.0, 300.0, 32.0, "Head", "paragraph") for p in (1, 2, 3)]
+    heads = spark.createDataFrame(rows, "doc_id int, page int, ordinal int, x0 double, y0 double, x1 double, y1 double, text string, kind string")
+    sized = lambda n, height: spark.createDataFrame([(1, p, height) for p in range(1, n + 1)], "doc_id int, page int, height double")
+    excluded = lambda pages: layout.boilerplate(heads, pages).where("excluded").count()
+    assert (excluded(None), excluded(sized(3, 792.0)), excluded(sized(20, 792.0)), excluded(sized(3, 300.0))) == (3, 3, 0, 0)
+
+
+def test_header_words_and_marks(spark):
+    tables = spark.createDataFrame([([["Particulars", "Qty"], ["a", "b"]],), ([["Compliance", "Price"], ["a", "b"]],)], "rows array<array<string>>")
+    assert [r.header for r in layout.header_row(tables).collect()] == [["Particulars", "Qty"], ["Column 1", "Column 2"]]
+    words = spark.createDataFrame([("Ąčő İstanbul",), ("Crème brûlée",)], "t string")
+    assert [r[0] for r in words.select(X.index_terms(words.t)).collect()] == [["aco", "istanbul"], ["creme", "brulee"]]
