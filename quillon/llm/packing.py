@@ -83,8 +83,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(it):
-        for batch in slices(it, 16 << 20):  # the larger, the fewer words are looked up twice
-            ids, ends = encoder(tokenizer, 1_500_000).encode(batch.column(1))
+        for batch in slices(it, 12 << 20):  # the larger, the fewer words are looked up twice
+            ids, ends = encoder(tokenizer, 1_200_000).encode(batch.column(1))
             out = []
             for d, (doc, a, b) in enumerate(zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist())):
                 own = np.append(ids[a:b].astype("<u4"), np.uint32(end_id)).astype("<u4")
