@@ -76,15 +76,15 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[Bin]:
     return bins
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, batch_bytes: int = 4 << 20, kept_units: int = 1_000_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids with end_id after them, cut at `capacity`."""
     import pyarrow as pa
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(it):
-        for batch in slices(it, 12 << 20):  # the larger, the fewer words are looked up twice
-            ids, ends = encoder(tokenizer, 1_200_000).encode(batch.column(1))
+        for batch in slices(it, batch_bytes):  # the larger, the fewer words are looked up twice
+            ids, ends = encoder(tokenizer, kept_units).encode(batch.column(1))
             out = []
             for d, (doc, a, b) in enumerate(zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist())):
                 own = np.append(ids[a:b].astype("<u4"), np.uint32(end_id)).astype("<u4")
@@ -143,16 +143,16 @@ def place(pieces: DataFrame, capacity: int, per_group: int = 20_000) -> DataFram
     return ranked.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, batch_bytes: int = 4 << 20, kept_units: int = 1_000_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where every piece of every document lies.
 
     docs: doc_id, text; other columns are not read. Null and empty texts are a piece of the end id alone; documents longer
     than `capacity` are cut into full pieces and a last one. Repeated rows are packed each for itself, rows with a null
     doc_id too. An empty table gives an empty table."""
-    return place(written(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return place(written(token_pieces(docs, tokenizer, end_id, capacity, batch_bytes, kept_units), "pieces"), capacity)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), batch_bytes=12 << 20, kept_units=1_200_000)
