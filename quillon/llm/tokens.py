@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+from itertools import repeat
 
 import numpy as np
 
 from .common import text_buffers
 
+#: What each byte becomes with A-Z in lower case.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: White space besides space and newline, by which a text could be cut otherwise than at single spaces and newlines.
 _ODD = re.compile(r"[ \n][ \n]|[^\S \n]|[\x1c-\x1f\x85\u200b\u2060\ufeff\u180e]|<\|")
 
@@ -32,7 +37,8 @@ class UnitEncoder:
 
     A text is cut where the tokenizer cuts it in any case: before each single space and around each single newline
     between other characters. Equal units of a batch are encoded once, and at most `most` units are kept for the
-    next batches. Texts with other white space or markers are encoded whole."""
+    next batches. Texts with other white space or markers are encoded whole. Where the tokenizer lower-cases anyway, A-Z are
+    lowered before equal units are sought, but for texts with combining marks, whose composition comes first."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -41,6 +47,8 @@ class UnitEncoder:
         special = [t for t, a in self.tok.get_added_tokens_decoder().items() if a.content == "<|endoftext|>"]
         self.mark = special[0] if special else None
         self.most = most
+        normalizer = json.loads(self.tok.to_str())["normalizer"] or {}
+        self.lowers = any(n["type"] == "Lowercase" for n in [normalizer, *normalizer.get("normalizers", [])] if n)
         self._forget()
 
     def _forget(self) -> None:
@@ -66,6 +74,10 @@ class UnitEncoder:
         first = np.where(k > 0, self.end[np.maximum(k - 1, 0)], 0)
         return first, self.end[k] - first
 
+    def _places(self, units: list[str]) -> np.ndarray:
+        """Number of each unit, -1 for those not known."""
+        return np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+
     def _encode_units(self, units: list[str]) -> None:
         for lo in range(0, len(units), 4096):
             part = units[lo : lo + 4096]
@@ -75,7 +87,7 @@ class UnitEncoder:
             else:  # many units go as one text, with the special token between them
                 ids: list[int] = []
                 for at in range(0, len(part), 256):
-                    ids += self.tok.encode("<|endoftext|>".join(part[at : at + 256]), add_special_tokens=False).ids
+                    ids += self.tok.encode_batch_fast(["<|endoftext|>".join(part[at : at + 256])], add_special_tokens=False)[0].ids
                     ids.append(self.mark)
                 found = np.array(ids, np.int64)
                 marks = np.flatnonzero(found == self.mark)
@@ -99,6 +111,14 @@ class UnitEncoder:
             places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
             self._put([b + t for b, t in zip(base, tail)], self.ids[places], n1 + n2)
 
+    @staticmethod
+    def _lowered(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A-Z in lower case, but for texts with combining marks (U+0300 to U+037F)."""
+        out = _LOWER[raw]
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero((raw == 0xCC) | (raw == 0xCD)), "right") - 1).tolist():
+            out[ends[i] : ends[i + 1]] = raw[ends[i] : ends[i + 1]]
+        return out
+
     def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string column (nulls: none), and the ends of each text's ids."""
         import pyarrow as pa
@@ -114,6 +134,8 @@ class UnitEncoder:
             if _ODD.search(x := col[i].as_py()):
                 odd[i] = x
                 cut[ends[i] + 1 : ends[i + 1]] = False
+        if self.lowers:
+            raw = self._lowered(raw, ends)
         cuts = np.flatnonzero(cut)
         units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
         which, names = units.indices.to_numpy(zero_copy_only=False), units.dictionary.to_pylist()
@@ -123,11 +145,17 @@ class UnitEncoder:
         used = np.zeros(len(names), np.bool_)
         used[which[plain]] = True
         wanted = names if used.all() else [u for u, y in zip(names, used.tolist()) if y]
-        if self.size + sum(u not in self.known for u in wanted) > self.most:
+        at = self._places(wanted)
+        new = np.flatnonzero(at < 0)
+        if self.size + len(new) > self.most:
             self._forget()
-        self._learn([u for u in wanted if u not in self.known])
+            new = np.arange(len(wanted))
+        fresh = [wanted[i] for i in new.tolist()]
+        self._learn(fresh)
+        at[new] = self._places(fresh)
         first, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        first[used], size[used] = self._span(wanted)
+        first[used] = np.where(at > 0, self.end[np.maximum(at - 1, 0)], 0)
+        size[used] = self.end[at] - first[used]
         first, size = first[which], size[which]
         extra = {u: np.array(self.tok.encode(x, add_special_tokens=False).ids, self.ids.dtype) for u, x in whole.items()}
         for u, x in extra.items():

@@ -38,6 +38,18 @@ def test_unit_encoder_equals_whole_texts(path, name):
             assert ids[ends[i] : ends[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_unit_encoder_lowers_as_the_tokenizer_does(path, name):
+    """Letters whose lower case composes with a mark that the upper case doesn't compose with (h, j, t, w, y), and mixed cases."""
+    random.seed(6)
+    parts = ["H", "h", "J", "j", "T", "W", "Y", "\u0331", "\u030c", "\u0308", "\u030a", "\u0341", "K", "\u212a", "\u03a3", "\u0130", " ", "\n", ".", "'LL", "'S", "The ", "THE ", "the."]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 25))) for _ in range(4000)] + ["<|ENDOFTEXT|> A"]
+    whole = Tokenizer.from_file(path(name))
+    ids, ends = tokens.UnitEncoder(path(name)).encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_components(spark):
     random.seed(1)
     links = [(random.randint(0, 400), random.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7)]
