@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, linededup, packing, passages, quality, simhash, token_counts, token_files
+from . import decontaminate, fingerprints, licenses, linededup, packing, passages, quality, simhash, token_counts, token_files, vector_packing
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_dedup": linededup.op8,
         "op9_token_files": token_files.op9,
         "op10_simhash_near_dedup": simhash.op10,
+        "op12_vector_packing": vector_packing.op12,
     }
 
 
