@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,8 +21,6 @@ STOP_WORDS = (
     "a an and are as be by can does for from how in is it of on or the this to what when which who with "
     "extract identify list prepare state summarize entry matrix row"
 ).split()
-#: Letters of which the index drops the diacritics natively.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def token_count(text: Column) -> Column:
@@ -98,16 +98,26 @@ def answer_text(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(fold_case(text), F.lit(WORD), F.lit(0)), " ")
 
 
-@F.pandas_udf(T.StringType())
-def without_marks(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+@lru_cache(maxsize=1)
+def _unmarked() -> tuple[str, str]:
+    """Characters that change without their diacritics, and what they become; the marks themselves are at the end and become nothing.
+
+    Made by rule over all of Unicode. A character of which several would remain (as Hangul syllables) stays as it is."""
+    changed, plain, marks = [], [], []
+    for c in map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000))):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif unicodedata.decomposition(c):
+            rest = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            if rest != c and len(rest) == 1:
+                changed.append(c)
+                plain.append(rest)
+    return "".join(changed + marks), "".join(plain)
 
 
 def plain_letters(text: Column) -> Column:
-    """Lower case without diacritics; only texts with letters beyond Latin-1 go to Python."""
-    low = F.lower(text)
-    far = low.rlike(r"[^\x00-\xff]")
-    return F.when(far, without_marks(F.when(far, low))).otherwise(F.translate(low, MARKED, PLAIN))
+    """Lower case without diacritics, by one table of characters for all scripts."""
+    return F.translate(F.lower(text), *_unmarked())
 
 
 def index_terms(text: Column) -> Column:
@@ -125,8 +135,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit_vector(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+    """A vector in doubles, brought to length 1."""
+    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
+    return F.transform(v, lambda x: x.cast("double") / norm)
 
 
 _UNIT = re.compile(r"\w+|[^\w\s]")
