@@ -11,4 +11,3 @@ CHUNKS = (
     "id string, doc_id string, section_id string, section_path array<string>, kind string, text string, context string, "
     "element_ids array<string>, token_count int, ordinal int, previous_id string, next_id string, table_id string, row_range array<int>, row_fragment boolean"
 )
-POINTER = "CURRENT"
