@@ -10,18 +10,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import unit_vector
+
+
+#: Tokens of a window that a model keeps for itself, and the least size of a window.
+SPARE, LEAST = 16, 16
+
 
 class Embedder(Protocol):
-    """What a model has to offer to be plugged in."""
+    """What a model has to offer to be plugged in. Its tokens decide how long a text may be."""
 
     name: str
     dimension: int
+    max_tokens: int
 
+    def tokenize(self, text: str) -> list: ...
+    def detokenize(self, tokens: list) -> str: ...
     def encode_documents(self, texts: list[str]) -> np.ndarray: ...
     def encode_query(self, text: str) -> np.ndarray: ...
 
 
-class HashedWords:
+class _Words:
+    """Tokens that are words."""
+
+    max_tokens = 128
+
+    def tokenize(self, text: str) -> list[str]:
+        return text.split()
+
+    def detokenize(self, tokens: list[str]) -> str:
+        return " ".join(tokens)
+
+    def encode_documents(self, texts: list[str]) -> np.ndarray:
+        return np.stack([self.encode_query(t) for t in texts]) if texts else np.zeros((0, self.dimension), np.float32)
+
+
+class HashedWords(_Words):
     """A deterministic embedder without a model: words hashed to signed places, vectors of length 1."""
 
     def __init__(self, dimension: int = 64):
@@ -36,8 +60,34 @@ class HashedWords:
             v[h % self.dimension] += 1 if h >> 63 else -1
         return v / max(float(np.linalg.norm(v)), 1e-12)
 
-    def encode_documents(self, texts: list[str]) -> np.ndarray:
-        return np.stack([self.encode_query(t) for t in texts]) if texts else np.zeros((0, self.dimension), np.float32)
+
+class Letters(_Words):
+    """A deterministic embedder that SQL can follow: how often each letter a-z occurs."""
+
+    name, dimension = "letters", 26
+
+    def encode_query(self, text: str) -> np.ndarray:
+        at = np.frombuffer(text.lower().encode(), np.uint8)
+        return np.bincount(at[(at >= 97) & (at <= 122)] - 97, minlength=26).astype(np.float32)
+
+
+def load_embedder(name: str) -> Embedder:
+    """An embedder by name: letters, hashed-words-N, or module:factory of a model of one's own."""
+    if name == "letters":
+        return Letters()
+    if name.startswith("hashed-words-"):
+        return HashedWords(int(name.removeprefix("hashed-words-")))
+    return load(name)()
+
+
+def load(name: str):
+    """What module:attribute names."""
+    import importlib
+
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError(f"{name} is no module:attribute")
+    return getattr(importlib.import_module(module), attribute)
 
 
 def encode(df: DataFrame, column: str, embedder: Embedder, batch: int = 32) -> DataFrame:
@@ -104,8 +154,47 @@ def pooled(windows: DataFrame) -> DataFrame:
     return joined.select("owner", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))).alias("vector"))
 
 
-def windows(df: DataFrame, tokens: str, size: int, stride: int | None = None) -> DataFrame:
-    """df with at and window: slices of a token array of `size`, every `stride` (one after another without it)."""
-    step = stride or size
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(step))
-    return df.select("*", F.explode(starts).alias("at")).withColumn("window", F.expr(f"slice(`{tokens}`, at + 1, {size})"))
+def text_windows(df: DataFrame, embedder: Embedder) -> DataFrame:
+    """(owner, at, n, weight, window): texts (id, text) cut to windows of as many tokens as the model takes, one after another; n windows each.
+    A text of one window is it as it stands; a window weighs its tokens, 1 at least."""
+
+    @F.pandas_udf("array<struct<weight:int,window:string>>")
+    def cut(x: pd.Series) -> pd.Series:
+        limit, out = max(LEAST, embedder.max_tokens - SPARE), []
+        for text in x.fillna(""):
+            tokens = embedder.tokenize(text)
+            if len(tokens) <= limit:
+                out.append([(max(1, len(tokens)), text)])
+            else:
+                out.append([(len(tokens[i : i + limit]), embedder.detokenize(tokens[i : i + limit])) for i in range(0, len(tokens), limit)])
+        return pd.Series(out)
+
+    rows = df.select(F.col("id").alias("owner"), cut(F.col("text")).alias("_w"))
+    return rows.select("owner", F.size("_w").alias("n"), F.posexplode("_w").alias("at", "_p")).select("owner", "at", "n", "_p.weight", "_p.window")
+
+
+def encode_long(df: DataFrame, embedder: Embedder, batch: int = 32) -> DataFrame:
+    """(id, vector) of texts (id, text) of any length: windows are embedded in batches, summed by weight for each owner, and brought to length 1.
+
+    Only texts of several windows are summed, so only those are shuffled."""
+    found = encode(text_windows(df, embedder), "window", embedder, batch)
+    alone = found.where("n = 1").select(F.col("owner").alias("id"), unit_vector(F.col("vector")).alias("vector"))
+    many = pooled(found.where("n > 1")).select(F.col("owner").alias("id"), "vector")
+    return alone.unionByName(many)
+
+
+def encode_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
+    """queries (query_id, text) with vector; an error if one is longer than the model takes."""
+
+    @F.pandas_udf(T.IntegerType())
+    def tokens(x: pd.Series) -> pd.Series:
+        return x.fillna("").map(lambda t: len(embedder.tokenize(t)))
+
+    if not queries.where(tokens("text") > embedder.max_tokens - SPARE).isEmpty():
+        raise ValueError("a query is longer than the embedding model takes; shorten it")
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(x: pd.Series) -> pd.Series:
+        return x.fillna("").map(lambda t: np.asarray(embedder.encode_query(t), np.float32).tolist())
+
+    return queries.withColumn("vector", run("text"))
