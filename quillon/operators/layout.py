@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +46,7 @@ def boilerplate(elements: DataFrame, pages: DataFrame | None = None) -> DataFram
 
 def fonts(elements: DataFrame, *keys: str) -> DataFrame:
     """(keys, font_size, chars, first): characters of paragraphs by size rounded to a tenth, and where the size comes first."""
-    paragraphs = elements.where("kind = 'paragraph'").withColumn("font_size", F.round("font_size", 1))
+    paragraphs = elements.where("kind = 'paragraph'").withColumn("font_size", F.bround("font_size", 1))
     return paragraphs.groupBy(*keys, "font_size").agg(F.sum(F.length("text")).alias("chars"), F.min("ordinal").alias("first"))
 
 
@@ -86,7 +85,7 @@ def headings(elements: DataFrame, bookmarks: DataFrame | None = None) -> DataFra
     title_like = short & words.between(2, 20) & ~bullet & ~text.rlike(r"[.;,]$") & (styled | upper) & ~text.rlike(r"(?i)^(?:yours |\(signature|\(to be given)")
     open_ = ~F.col("kind").isin("table", "header", "footer")
     heading = open_ & short & (F.col("mark").isNotNull() | explicit | title_like)
-    size = F.array_position(F.coalesce("large", F.array().cast("array<double>")), F.round("font_size", 1))
+    size = F.array_position(F.coalesce("large", F.array().cast("array<double>")), F.bround("font_size", 1))
     level = (
         F.when(number != "", F.least(F.lit(6), F.size(F.split(number, r"\."))))
         .when(explicit, 1)
@@ -112,15 +111,16 @@ def drop_contents(elements: DataFrame) -> DataFrame:
 
 
 def page_quality(elements: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, characters, tables, ocr_confidence, sparse, corrupt, needs_ocr, warnings): what a page holds, and what asks for a review.
+    """(doc_id, page, characters, tables, ocr_confidence, method, sparse, corrupt, needs_ocr, warnings): what a page holds, and what asks for a review.
 
     images: doc_id, page, region_ratio: a row for each page with images, and the largest one's share of the page. A page with an image needs
     OCR if it is sparse, or the image dominates it (0.65) and there are fewer than 300 characters; replacement characters don't
     make it need OCR, they are a warning of their own."""
     chars = F.sum(F.length("text"))
     bad = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit(""))))
+    method = F.coalesce(F.max(F.when(F.col("extraction") != "native", F.col("extraction"))), F.lit("native")) if "extraction" in elements.columns else F.lit("native")
     confidence = F.avg("confidence") if "confidence" in elements.columns else F.lit(None).cast("double")
-    pages = elements.groupBy("doc_id", "page").agg(chars.alias("characters"), F.count_if(F.col("kind") == "table").alias("tables"), confidence.alias("ocr_confidence"), (chars < 80).alias("sparse"), (bad > 0.03 * F.greatest(chars, F.lit(1))).alias("corrupt"))
+    pages = elements.groupBy("doc_id", "page").agg(chars.alias("characters"), F.count_if(F.col("kind") == "table").alias("tables"), confidence.alias("ocr_confidence"), method.alias("method"), (chars < 80).alias("sparse"), (bad > 0.03 * F.greatest(chars, F.lit(1))).alias("corrupt"))
     ratio = F.lit(None).cast("double") if images is None else F.col("region_ratio")
     joined = pages if images is None else pages.join(images.select("doc_id", "page", "region_ratio"), ["doc_id", "page"], "left")
     needs = F.coalesce(ratio.isNotNull() & (F.col("sparse") | ((ratio > 0.65) & (F.col("characters") < 300))), F.lit(False))
@@ -181,18 +181,69 @@ def order_boxes(boxes: list[tuple[float, float, float, float]], width: float) ->
     return done
 
 
-def reading_order(elements: DataFrame, width: float = WIDTH) -> DataFrame:
-    """(doc_id, page, ordinal, place): each element's place in the reading order of its page; a page is a group."""
+def reading_order(elements: DataFrame, width: float = WIDTH, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, ordinal, place): each element's place in the reading order of its page.
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ordinal")
-        order = order_boxes(list(page[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), width)
-        out = page.iloc[order][["doc_id", "page", "ordinal"]].copy()
-        out["place"] = range(len(out))
-        return out
+    pages: doc_id, page, width where pages differ. Documents are sorted within partitions and cut by page in whole Arrow batches, so that no page is
+    a group of its own; a page whose boxes leave no room for a second column needs no search."""
+    import pyarrow as pa
 
     kinds = dict(elements.dtypes)
-    return elements.select("doc_id", "page", "ordinal", "x0", "y0", "x1", "y1").groupBy("doc_id", "page").applyInPandas(one, f"doc_id {kinds['doc_id']}, page int, ordinal int, place int")
+    rows = elements.select("doc_id", "page", "ordinal", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    if pages is None:
+        rows = rows.withColumn("_width", F.lit(float(width)))
+    else:
+        rows = rows.join(pages.select("doc_id", "page", F.col("width").cast("double").alias("_width")), ["doc_id", "page"], "left").fillna(float(width), ["_width"])
+    out = f"doc_id {kinds['doc_id']}, page {kinds['page']}, ordinal {kinds['ordinal']}, place int"
+
+    def placed(table: pa.Table) -> pa.RecordBatch:
+        doc, page = table.column("doc_id").to_pylist(), table.column("page").to_pylist()
+        boxes = list(zip(*(table.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))))
+        widths, order, places, lo = table.column("_width").to_pylist(), [], [], 0
+        for hi in range(1, len(doc) + 1):
+            if hi == len(doc) or (doc[hi], page[hi]) != (doc[lo], page[lo]):
+                order += [lo + i for i in order_boxes(boxes[lo:hi], widths[lo])]
+                places += range(hi - lo)
+                lo = hi
+        found = table.select(["doc_id", "page", "ordinal"]).take(pa.array(order, pa.int64()))
+        return found.append_column("place", pa.array(places, pa.int32())).combine_chunks().to_batches()[0]
+
+    def run(it):
+        held = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            doc, page = held.column("doc_id").to_pylist(), held.column("page").to_pylist()
+            cut = len(doc) - 1
+            while cut and (doc[cut - 1], page[cut - 1]) == (doc[-1], page[-1]):
+                cut -= 1
+            if cut:  # the last page may go on in the next batch
+                yield placed(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield placed(held)
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page", "ordinal").mapInArrow(run, out)
+
+
+def page_boxes(boxes: DataFrame, transforms: DataFrame) -> DataFrame:
+    """boxes (doc_id, page, x0, y0, x1, y1) of a page's picture as boxes of the page: around the four corners, mapped back.
+
+    transforms: doc_id, page, a, b, c, d, e, f of the matrix that made the picture, x' = a x + c y + e, y' = b x + d y + f; a page without a row is as
+    it was. A matrix without an inverse is an error of its rows: their boxes become null."""
+    joined = boxes.join(transforms.select("doc_id", "page", *[F.col(c).alias(f"_{c}") for c in "abcdef"]), ["doc_id", "page"], "left")
+    det = F.nullif(F.col("_a") * F.col("_d") - F.col("_b") * F.col("_c"), F.lit(0.0))
+
+    def back(x: str, y: str) -> Column:
+        u, v = F.col(x) - F.col("_e"), F.col(y) - F.col("_f")
+        return F.struct(((F.col("_d") * u - F.col("_c") * v) / det).alias("x"), ((F.col("_a") * v - F.col("_b") * u) / det).alias("y"))
+
+    corners = joined.withColumn("_at", F.array(back("x0", "y0"), back("x0", "y1"), back("x1", "y0"), back("x1", "y1")))
+    around = {"x0": F.array_min("_at.x"), "y0": F.array_min("_at.y"), "x1": F.array_max("_at.x"), "y1": F.array_max("_at.y")}
+    mapped = {c: F.when(F.col("_a").isNull(), F.col(c)).otherwise(edge) for c, edge in around.items()}
+    return corners.select(*[mapped[c].alias(c) if c in mapped else F.col(c) for c in boxes.columns])
 
 
 def centers(values: DataFrame, key: str, value: str, tolerance: float = 4.0) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, dense, evaluate, fusion, layout, lexical, search, sections, store
+from ..sources import files
 from ..sources import tables as S
+from ..sources.scratch import new_folder
 from . import sql as Q
 
 _QUERIES: dict = {}
@@ -298,10 +300,10 @@ def hybrid_rrf(spark, d):
     return search.search(asked, chunks, 5, "hybrid", 20, vectors=vectors).select("query_id", "id", "place", F.round("score", 9).alias("score"))
 
 
-@_query()
+@_query(Q.RERANK)
 def rerank(spark, d):
     asked, chunks, vectors = _both_lists(spark, d)
-    out = search.search(asked, chunks, 5, "hybrid", 20, reranker=fusion.windowed(fusion.overlap_scorer, 256), vectors=vectors)
+    out = search.search(asked, chunks, 5, "hybrid", 20, reranker=fusion.WordOverlap(), vectors=vectors)
     return out.select("query_id", "id", "place", F.round("score", 9).alias("score"), "score_type")
 
 
@@ -387,6 +389,113 @@ def corpus_report(spark, d):
     return S.read(spark, d, "documents", "lang", "source", "n_chars").groupBy("lang", "source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
+@_query(Q.BM25_PHRASES)
+def bm25_phrases(spark, d):
+    """Queries whose words are joined to phrases by underscores."""
+    w = lambda *at: F.concat_ws("_", *[F.try_element_at("w", F.lit(i)) for i in at])
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    asked = _asked(spark, d).withColumn("w", words).select("query_id", F.lit("lexical").alias("method"), F.concat_ws(" ", w(2, 3), w(5, 6, 7), w(9)).alias("text"))
+    chunks = _chunks(spark, d)
+    return _hits(lexical.bm25(asked, lexical.postings(chunks), lexical.chunk_lengths(chunks)), 5).drop("method")
+
+
+@_query(Q.ENCODE_LONG)
+def encode_long(spark, d):
+    texts = S.read(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
+    vectors = dense.encode_long(texts.where(F.col("text").rlike(rf"[^{X.SPACE_CLASS}]")), dense.Letters())
+    return vectors.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("place", "x")).select("doc_id", "place", F.round("x", 6).alias("x"))
+
+
+def _revised(spark, d) -> store.Store:
+    """A store after three writes: all documents; the French ones anew, with another text and so another id, from the same sources; the Spanish ones removed."""
+    docs = S.read(spark, d, "documents", "doc_id", "text", "lang", "source").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", F.concat_ws("/", "source", "doc_id").alias("source"), "text")
+    fresh = docs.where("lang = 'fr'").withColumn("doc_id", F.concat(F.lit("x"), "doc_id")).withColumn("text", F.concat("text", F.lit("\nRevised edition of this file.")))
+    out = store.Store(spark, new_folder(spark, "store"), buckets=8)
+    for rows in (docs, fresh):
+        chunks = rows.select(X.stable_id("doc_id", "text").alias("id"), "doc_id", F.lit("").alias("context"), F.substring_index("text", "\n", 1).alias("text"))
+        ids = rows.select(F.col("doc_id").alias("id"), "source")
+        sections = rows.select("doc_id", X.stable_id("doc_id", F.lit("root")).alias("id"))
+        out.upsert(ids, sections, chunks, elements=S.document_lines(rows))
+    out.delete(docs.where("lang = 'es'").select(F.col("doc_id").alias("id")))
+    return out
+
+
+@_query(Q.REINDEX)
+def reindex_active(spark, d):
+    """Stored elements of the documents as they are now, chunked anew."""
+    packed = chunking.pack(_revised(spark, d).read("elements"), split=False)
+    return packed.select("doc_id", "chunk", "first", "last", "n", "token_count", F.md5("text").alias("text_md5"))
+
+
+@_query(Q.HISTORY)
+def store_history(spark, d):
+    return _revised(spark, d).history("documents").select("id", "source", "revision", "active")
+
+
+@_query(Q.FLAGGED)
+def flagged_pages(spark, d):
+    lines = _layout(spark, d)
+    return evaluate.flagged_pages(layout.page_quality(lines, _images(lines))).select("doc_id", "page", "unread", F.array_join("warnings", ",").alias("warnings"))
+
+
+def _images(lines: DataFrame) -> DataFrame:
+    at = F.col("doc_id") + F.col("page")
+    return lines.select("doc_id", "page").distinct().where(at % 2 == 0).select("doc_id", "page", (at % 10 / 10.0).alias("region_ratio"))
+
+
+@_query(Q.TOTALS)
+def ingest_totals(spark, d):
+    lines = _layout(spark, d)
+    chunks = chunking.pack(_lines(spark, d), split=False).withColumn("context", F.col("doc_id").cast("string"))
+    failed = S.read(spark, d, "labels", "doc_id", "toxic").where("toxic = 1").select("doc_id", F.lit("unreadable").alias("error"))
+    _, tree = sections.section_tree(_structured(spark, d).withColumn("id", X.stable_id("doc_id", "ordinal")))
+    documents = S.read(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "id")
+    return evaluate.ingest_totals(documents, lines, tree, chunks, layout.page_quality(lines, _images(lines)), failed)
+
+
+@_query(Q.MANIFESTS)
+def manifest_sources(spark, d):
+    """Paths of documents and two manifests, one in the folder of a language below the other: the nearest counts."""
+    docs = S.read(spark, d, "documents", "doc_id", "lang", "source")
+    path = F.concat_ws("/", F.lit("file:///corpus"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    known = docs.join(S.read(spark, d, "labels", "doc_id", "quality", "toxic"), "doc_id")
+    outer = known.where("quality IS NOT NULL").select(F.lit("/corpus").alias("folder"), F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("filename"), F.concat(F.lit("quality "), "quality").alias("category"), F.concat(F.lit("Outer "), "doc_id").alias("title"))
+    inner = known.where("lang = 'fr' AND toxic = 1").select(F.lit("/corpus/fr").alias("folder"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("filename"), F.lit("toxic").alias("category"), F.concat(F.lit("Inner "), "doc_id").alias("title"))
+    named = files.with_nearest_manifest(docs.select("doc_id", path.alias("path"), F.col("source").alias("category")), outer.unionByName(inner))
+    return named.select("doc_id", "category", "title")
+
+
+@_query(Q.BOOKMARKS)
+def bookmark_levels(spark, d):
+    lines = _layout(spark, d)
+    marks = files.outlines(lines.where("ordinal % 7 < 3").select("doc_id", "page", "ordinal", "text", (1 + F.col("ordinal") % 8).cast("int").alias("level"), F.lit("bookmark").alias("kind")))
+    return layout.headings(layout.boilerplate(lines), marks).select("doc_id", "ordinal", "kind", "level")
+
+
+@_query(Q.PAGE_BOXES)
+def page_boxes(spark, d):
+    lines = _layout(spark, d)
+    matrix = dict(a=F.lit(0.5), b=F.lit(0.25), c=F.lit(-0.25), d=F.lit(0.5), e=8.0 * F.col("page"), f=F.lit(16.0))
+    turned = lines.select("doc_id", "page").distinct().where("page % 3 <> 0").select("doc_id", "page", *[v.alias(k) for k, v in matrix.items()])
+    return layout.page_boxes(lines, turned).select("doc_id", "ordinal", "x0", "y0", "x1", "y1")
+
+
+@_query(Q.EVAL_DETAILS)
+def eval_details(spark, d):
+    """Cases of benchmark items: their documents are the labelled sources, words of theirs the evidence."""
+    asked, docs, chunks = _asked(spark, d), S.read(spark, d, "documents", "doc_id", "text"), _chunks(spark, d)
+    label = F.struct(F.concat(F.lit("d"), F.col("id").cast("string")).alias("source"), F.array(F.lit(1)).alias("pages"))
+    relevant = _relevant(asked, docs).groupBy("query_id").agg(F.collect_list(label).alias("relevant"))
+    w = lambda n: F.try_element_at(F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0)), F.lit(n))
+    evidence = F.array(F.array(w(1)), F.array(F.concat_ws(" ", w(2), w(3))), F.array(F.lit("qqzz"), w(5)))
+    cases = asked.select("query_id", evidence.alias("answer_evidence")).join(relevant, "query_id")
+    top = lexical.top(lexical.bm25(asked.withColumn("method", F.lit("lexical")), lexical.postings(chunks), lexical.chunk_lengths(chunks)), 5, "id")
+    cited = F.array(F.struct(F.concat(F.lit("d"), F.col("id").cast("string")).alias("source"), F.lit(1).alias("page")))
+    hits = top.join(chunks.select("id", "context", "text"), "id").select("query_id", F.col("rank").alias("place"), F.col("id").cast("string").alias("id"), "context", "text", cited.alias("citations"))
+    out = evaluate.case_details(cases, hits)
+    return out.select("query_id", "first_relevant_rank", F.round("page_recall", 6).alias("page_recall"), F.round("answer_evidence_recall", 6).alias("answer_evidence_recall"), F.array_join(F.transform("matched_answer_evidence", lambda x: x.cast("string")), ",").alias("matched"), F.array_join("retrieved_ids", ",").alias("retrieved_ids"))
+
+
 @_query()
 def search_hits(spark, d):
     """The flagship: chunks of all documents, searched for every benchmark item, with what a hit shows."""

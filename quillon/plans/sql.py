@@ -104,7 +104,7 @@ opened AS (SELECT doc_id, ordinal, {_OPEN} FROM carried)
 SELECT doc_id, ordinal, CASE WHEN coalesce(o6, o5, o4, o3, o2, o1) IS NULL THEN substr(sha256(doc_id || chr(0) || 'root'), 1, 24)
   ELSE substr(sha256(doc_id || chr(0) || substr(sha256(doc_id || chr(0) || coalesce(o6, o5, o4, o3, o2, o1)), 1, 24) || chr(0) || 'section'), 1, 24) END AS section_id, concat_ws(' > ', {_PATH}) AS path FROM opened s"""
 
-_CHANGE = r"""lag(page) OVER w <> page OR lag(bold) OVER w <> bold OR abs(lag(font_size) OVER w - font_size) > 1 OR regexp_matches(text, '(?i)^(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?\s|[•\x{f0b7}\x{fffd}]|\([a-z0-9ivx]+\))')"""
+_CHANGE = r"""lag(page) OVER w <> page OR lag(bold) OVER w <> bold OR abs(lag(font_size) OVER w - font_size) > 1 OR regexp_matches(text, '(?i)^(?:\p{Nd}+(?:\.\p{Nd}+)*[.)]?\s|[•\x{f0b7}\x{fffd}]|\([a-zivx]+\))')"""
 FRAGMENTS = f""", marked AS (SELECT *, CASE WHEN coalesce({_CHANGE}, true) THEN 1 ELSE 0 END AS new FROM layout WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
 runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS fragment FROM marked)
 SELECT doc_id, fragment, min(page) AS page, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, round(sum(font_size * length(text)) / greatest(1, sum(length(text))), 6) AS font_size,
@@ -177,3 +177,78 @@ SELECT count(*) AS cases, round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1 END),
 _HAY = f"array_to_string(regexp_extract_all({fold('text')}, '{WORD}'), ' ')"
 EVIDENCE = f"""SELECT item_id, round((CASE WHEN contains(h, 'the') OR contains(h, 'der') THEN 1 ELSE 0 END + CASE WHEN contains(h, 'in of') THEN 1 ELSE 0 END + CASE WHEN contains(h, 'que') OR contains(h, 'les') THEN 1 ELSE 0 END) / 3, 6) AS evidence
 FROM (SELECT item_id, {_HAY} AS h FROM benchmark)"""
+
+_JOINED = "concat_ws(' ', concat_ws('_', w[2], w[3]), concat_ws('_', w[5], w[6], w[7]), w[9])"
+BM25_PHRASES = f"""WITH {_POST.split("stats AS")[0]} stats AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths),
+asks AS (SELECT item_id, {_JOINED} AS text FROM (SELECT item_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark)),
+lists AS (SELECT doc_id AS id, 0 AS col, {_TERMS.format("source")} AS t FROM documents UNION ALL SELECT doc_id, 1, {_TERMS.format("text")} FROM documents),
+tok AS (SELECT id, col, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM lists),
+tokens AS (SELECT item_id AS query_id, {_TERMS.format("token")} AS parts FROM (SELECT item_id, unnest({query_tokens("text")}) AS token FROM asks)),
+asked AS (SELECT query_id, 'lexical' AS method, array_to_string(parts, '_') AS term FROM tokens WHERE len(parts) > 0),
+kinds AS (SELECT DISTINCT parts FROM tokens), parts AS (SELECT array_to_string(parts, '_') AS key, len(parts) AS n, unnest(parts) AS term, generate_subscripts(parts, 1) AS i FROM kinds),
+occ AS (SELECT key, id, col, pos - i AS start FROM parts JOIN tok USING (term) GROUP BY key, n, id, col, pos - i HAVING count(*) = n),
+postings_ AS (SELECT key AS term, id, sum(1 - col) AS tf_context, sum(col) AS tf_text FROM occ GROUP BY key, id), dfs AS (SELECT term, count(*) AS df FROM postings_ GROUP BY term),
+{_SCORED.replace("postings p", "postings_ p")},
+ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 11) DESC, id) AS rank FROM scores)
+SELECT query_id, id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
+
+
+
+def _split(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '[{SPACE_CLASS}]+'), lambda x: x <> '')"
+
+
+RERANK = HYBRID.split(" SELECT query_id, id, place, round(score, 9)")[0] + f""", pool AS (SELECT query_id, id, score FROM r WHERE place <= 20),
+q AS (SELECT item_id AS query_id, list_distinct({_split("lower(text)")}) AS qs, 256 - 8 - len({_split("text")}) AS budget FROM heads),
+pairs AS (SELECT query_id, id, score, qs, budget, {_split("lower(source || chr(10) || text)")} AS ws FROM pool JOIN q USING (query_id) JOIN documents ON doc_id = id),
+windows AS (SELECT *, unnest(range(0, greatest(1, len(ws)), budget - 32)) AS st FROM pairs),
+best AS (SELECT query_id, id, score, max(len(list_filter(qs, lambda x: list_contains(ws[st + 1:st + budget], x))) / greatest(1, len(qs))) AS rerank FROM windows WHERE st = 0 OR st + 32 < len(ws) GROUP BY query_id, id, score),
+placed_ AS (SELECT query_id, id, rerank, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, round(score, 13) DESC, id) AS place FROM best)
+SELECT query_id, id, place, round(rerank, 9) AS score, 'rerank' AS score_type FROM placed_ WHERE place <= 5"""
+
+ENCODE_LONG = f"""WITH t AS (SELECT doc_id, {_split("text")} AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM t),
+g AS (SELECT doc_id, (i - 1) // 112 AS part, count(*) AS weight, string_agg(lower(word), '') AS s FROM w GROUP BY ALL),
+c AS (SELECT doc_id, part, weight, place, length(s) - length(replace(s, chr(CAST(97 + place AS INTEGER)), '')) AS x FROM g, range(26) r(place)),
+n AS (SELECT doc_id, max(part) AS last FROM g GROUP BY doc_id), v AS (SELECT c.doc_id, place, sum(CASE WHEN last = 0 THEN x ELSE weight * x END) AS y FROM c JOIN n USING (doc_id) GROUP BY c.doc_id, place)
+SELECT doc_id, place, round(y / greatest(sqrt(sum(y * y) OVER (PARTITION BY doc_id)), 1e-12), 6) AS x FROM v"""
+
+#: Documents as three writes leave them: all; those in French anew under another id; those in Spanish removed.
+ACTIVE = """active AS (SELECT CASE WHEN lang = 'fr' THEN 'x' ELSE '' END || doc_id AS doc_id, source, CASE WHEN lang = 'fr' THEN text || chr(10) || 'Revised edition of this file.' ELSE text END AS text FROM documents WHERE lang <> 'es')"""
+REINDEX = PACKED.replace("FROM documents)", "FROM active)").replace("WITH RECURSIVE e AS", f"WITH RECURSIVE {ACTIVE}, e AS") + "SELECT doc_id, chunk, first, last, n, token_count, md5(text) AS text_md5 FROM chunks"
+HISTORY = """SELECT CAST(doc_id AS VARCHAR) AS id, source || '/' || doc_id AS source, 1 AS revision, lang NOT IN ('fr', 'es') AS active FROM documents
+UNION ALL SELECT 'x' || doc_id, source || '/' || doc_id, 2, true FROM documents WHERE lang = 'fr'"""
+
+_PAGES = "p AS (SELECT doc_id, page, sum(length(text)) AS characters, sum(length(text)) < 80 AS sparse, sum(length(text) - length(replace(text, chr(65533), ''))) / greatest(1, sum(length(text))) > 0.03 AS corrupt, CASE WHEN (doc_id + page) % 2 = 0 THEN (doc_id + page) % 10 / 10.0 END AS ratio FROM layout GROUP BY ALL), q AS (SELECT *, coalesce(ratio IS NOT NULL AND (sparse OR ratio > 0.65 AND characters < 300), false) AS needs_ocr FROM p)"
+_WARNED = "needs_ocr OR coalesce(ratio > 0.2, false) OR corrupt OR sparse"
+FLAGGED = LAYOUT + f", {_PAGES} SELECT doc_id, page, needs_ocr AS unread, concat_ws(',', CASE WHEN needs_ocr THEN 'needs_ocr' WHEN ratio > 0.2 THEN 'visual_content_requires_review' END, CASE WHEN corrupt THEN 'replacement_characters_in_native_text' END, CASE WHEN sparse THEN 'sparse_page' END) AS warnings FROM q WHERE {_WARNED}"
+TOTALS = PACKED + LAYOUT.replace("WITH lines AS", ", lines AS") + f""", {_PAGES},
+counted AS (SELECT doc_id, 0 AS pages, count(*) AS elements, 0 AS sections, 0 AS tables, 0 AS chunks, 0 AS tokens, 0 AS context_tokens, 0 AS needs_review, 0 AS ocr_pages, 0 AS flagged_pages, 0 AS unread_pages, 0 AS failures FROM layout GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM documents WHERE doc_id IN (SELECT doc_id FROM layout) UNION ALL SELECT doc_id, 0, 0, count(*), 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM leveled WHERE kind = 'heading' AND NOT excluded GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, 0, 0, 0, count(*), sum(token_count), sum(token_count + 1), 0, 0, 0, 0, 0 FROM chunks GROUP BY doc_id
+  UNION ALL SELECT doc_id, count(*), 0, 0, 0, 0, 0, 0, 0, 0, count(*) FILTER ({_WARNED}), count(*) FILTER (needs_ocr), 0 FROM q GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM documents UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, count(*) FROM labels WHERE toxic = 1 GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("pages", "elements", "sections", "tables", "chunks", "tokens", "context_tokens", "needs_review", "ocr_pages", "flagged_pages", "unread_pages", "failures"))} FROM counted GROUP BY ROLLUP (doc_id)"""
+
+MANIFESTS = """SELECT doc_id, CASE WHEN lang = 'fr' THEN CASE WHEN toxic = 1 THEN 'toxic' ELSE source END WHEN quality IS NOT NULL THEN 'quality ' || quality ELSE source END AS category,
+CASE WHEN lang = 'fr' THEN CASE WHEN toxic = 1 THEN 'Inner ' || doc_id ELSE CAST(doc_id AS VARCHAR) END WHEN quality IS NOT NULL THEN 'Outer ' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS title FROM documents LEFT JOIN labels USING (doc_id)"""
+
+_KEY = fold(rx("text", "[^" + chr(92) + "p{L}" + chr(92) + "p{N}_]+", ""))
+BOOKMARKS = LAYOUT + f""", marks AS (SELECT doc_id, page, {_KEY} AS key, arg_max(1 + ordinal % 8, ordinal) AS mark FROM layout WHERE ordinal % 7 < 3 AND length({_KEY}) > 3 GROUP BY ALL),
+outlined AS (SELECT j.*, mark FROM (SELECT *, {_KEY} AS key FROM judged) j LEFT JOIN marks m ON j.doc_id = m.doc_id AND j.page = m.page AND j.key = m.key),
+again AS (SELECT *, heading OR (kind = 'paragraph' AND {_SHORT} AND mark IS NOT NULL) AS head FROM outlined)
+SELECT doc_id, ordinal, CASE WHEN head THEN 'heading' WHEN kind = 'paragraph' AND (number <> '' OR {_BULLET}) THEN 'list_item' ELSE kind END AS kind,
+  CASE WHEN NOT head THEN 0 WHEN number <> '' THEN least(6, len(string_split(number, '.'))) WHEN {_EXPLICIT} THEN 1 WHEN mark IS NOT NULL THEN least(6, mark) WHEN {_UPPER} AND {_WORDS} >= 3 THEN 1
+    WHEN list_contains(string_split(large, ','), CAST(font_size AS VARCHAR)) THEN least(6, list_position(string_split(large, ','), CAST(font_size AS VARCHAR))) ELSE 2 END AS level FROM again"""
+
+_MATRIX = "0.5 AS a, 0.25 AS b, -0.25 AS c, 0.5 AS d, 8.0 * page AS e, 16.0 AS f"
+PAGE_BOXES = LAYOUT + f""", m AS (SELECT *, {_MATRIX} FROM layout), corner AS (SELECT *, a * d - b * c AS det, unnest([x0, x0, x1, x1]) - e AS u, unnest([y0, y1, y0, y1]) - f AS v FROM m)
+SELECT doc_id, ordinal, min(CASE WHEN page % 3 = 0 THEN x0 ELSE (d * u - c * v) / det END) AS x0, min(CASE WHEN page % 3 = 0 THEN y0 ELSE (a * v - b * u) / det END) AS y0,
+  max(CASE WHEN page % 3 = 0 THEN x1 ELSE (d * u - c * v) / det END) AS x1, max(CASE WHEN page % 3 = 0 THEN y1 ELSE (a * v - b * u) / det END) AS y1 FROM corner GROUP BY doc_id, ordinal"""
+
+_HIT = "array_to_string(regexp_extract_all(" + fold("t") + f", '{WORD}'), ' ')"
+EVAL_DETAILS = EVAL.split("cases AS (")[0] + f"""cases AS (SELECT r.query_id, count(*) AS wanted, count(t.id) AS found, min(t.rank) AS first FROM relevant r LEFT JOIN top t ON r.query_id = t.query_id AND r.id = t.id GROUP BY r.query_id),
+got AS (SELECT query_id, string_agg(source || chr(10) || text, chr(10) ORDER BY rank) AS t, string_agg(id, ',' ORDER BY rank) AS ids FROM top JOIN documents ON doc_id = id GROUP BY query_id),
+w AS (SELECT item_id AS query_id, regexp_extract_all(text, '{WORD}') AS w FROM benchmark),
+m AS (SELECT query_id, first, found / wanted AS page_recall, coalesce(ids, '') AS ids, contains(h, {fold("w[1]")}) AS m1, contains(h, {fold("w[2]")} || ' ' || {fold("w[3]")}) AS m2, contains(h, 'qqzz') OR contains(h, {fold("w[5]")}) AS m3
+  FROM (SELECT c.*, coalesce({_HIT}, '') AS h, ids, w FROM cases c LEFT JOIN got USING (query_id) JOIN w USING (query_id)))
+SELECT query_id, first AS first_relevant_rank, round(page_recall, 6) AS page_recall, round((m1::INT + m2::INT + m3::INT) / 3, 6) AS answer_evidence_recall, concat_ws(',', m1, m2, m3) AS matched, ids AS retrieved_ids FROM m"""
