@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +57,11 @@ class Store:
         return self._names("manifests", r"\d{20}\.json")
 
     def _manifest(self, name: str) -> dict:
-        # one line, as it was written
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/{name}").collect()))
+        stream = self._fs.open(self._path(f"{self.root}/manifests/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def settings(self) -> dict:
         """The newest manifest: version, embedding_model, deltas, removed, schemas; empty before the first write."""
@@ -135,6 +139,11 @@ class Store:
         # a large bucket is split into several files
         parted.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.root}/{dataset}/delta={name}")
 
+    def _append_all(self, tables: dict[str, DataFrame], name: str) -> None:
+        """Datasets side by side: each is a job of its own."""
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda x: self._append(x[0], x[1], name), tables.items()))
+
     def _commit(self, tables: dict[str, DataFrame], check: Callable[[dict], tuple[DataFrame | None, str | None]], attempts: int = 20) -> int:
         """Append tables, then publish them. check(manifest) says, for the state that the write meets, which ids (id) it removes and the
         store's model, or raises. The version that was written."""
@@ -144,8 +153,7 @@ class Store:
             version = held.get("version", 0) + 1
             gone, model = check(held)
             if not written:
-                for dataset, df in tables.items():
-                    self._append(dataset, df, name)
+                self._append_all(tables, name)
                 written = True
             schemas = dict(held.get("schemas", {}))
             for dataset, df in tables.items():
@@ -217,8 +225,7 @@ class Store:
         while True:
             held, name = self._held(), f"d{uuid.uuid4().hex}"
             kept = [d for d in held["schemas"] if d != REMOVED]
-            for dataset in kept:
-                self._append(dataset, self.read(dataset, held), name)
+            self._append_all({d: self.read(d, held) for d in kept}, name)
             version = held["version"] + 1
             schemas = {d: s for d, s in held["schemas"].items() if d != REMOVED}
             if self._publish(held | {"version": version, "deltas": [{"name": name, "revision": version, "datasets": sorted(kept)}], "removed": [], "schemas": schemas}):

@@ -60,7 +60,8 @@ def structured(raw: DataFrame, documents: DataFrame | None = None, bookmarks: Da
     """Elements with raw_kind, kind, level, excluded, section_id and section_path (null for excluded ones); and the sections, below a root named
     by the document's title."""
     rows = raw if "raw_kind" in raw.columns else raw.withColumn("raw_kind", F.col("kind"))
-    found = layout.drop_contents(layout.headings(layout.boilerplate(rows), bookmarks))
+    # each step joins what it was given several times: its rows are kept, else every join would run all steps before it anew
+    found = kept(layout.drop_contents(kept(layout.headings(kept(layout.boilerplate(rows)), bookmarks))))
     if documents is None:
         titled = found.withColumn("title", basename(F.col("source")))
     else:
@@ -100,9 +101,12 @@ def chunked_elements(elements: DataFrame, documents: DataFrame, max_tokens: int
         prose = elements.where(F.col("kind").isin("paragraph", "list_item")).select(F.struct("doc_id", "ordinal").alias("id"), "text")
         vectors = dense.encode_long(prose, embedder).select("id.doc_id", "id.ordinal", "vector")
         elements = chunking.topic_breaks(elements, vectors, threshold)
-    every = _text_chunks(elements, max_tokens).unionByName(_table_chunks(elements, max_tokens))
+    every = _text_chunks(elements, max_tokens)
+    if not elements.where("kind = 'table'").isEmpty():  # plain text has none
+        every = every.unionByName(_table_chunks(elements, max_tokens))
+    every = kept(every)
     placed = every.withColumn("chunk", (F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "_part")) - 1).cast("int")).drop("_part")
-    cited = chunking.with_citations(chunking.with_ids(placed), elements.withColumn("bbox", F.array("x0", "y0", "x1", "y1")), pages)
+    cited = chunking.with_citations(kept(chunking.with_ids(placed)), elements.withColumn("bbox", F.array("x0", "y0", "x1", "y1")), pages)
     cited = cited.withColumn("citations", F.when(F.col("_box").isNotNull(), F.transform("citations", lambda c: c.withField("bbox", F.col("_box")))).otherwise(F.col("citations"))).drop("_box")
     paths = elements.groupBy("doc_id", "section_id").agg(F.min_by("section_path", "ordinal").alias("section_path"))
     titles = documents.select(F.col("id").alias("doc_id"), "category", F.col("title").alias("_title"))
@@ -113,6 +117,7 @@ def chunked_elements(elements: DataFrame, documents: DataFrame, max_tokens: int
 
 def corpus(raw: DataFrame, documents: DataFrame, max_tokens: int = 384, bookmarks: DataFrame | None = None, images: DataFrame | None = None, embedder=None, threshold: float = 0.35) -> Corpus:
     """All datasets of raw elements and their documents (id, source, title, category). The structure is computed once and kept."""
+    raw = kept(raw)
     placed, sections = structured(raw, documents, bookmarks)
     elements = kept(placed)
     pages = kept(layout.page_quality(raw, images))
