@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, table, written
+from .common import slices, table, written
 from .tokens import encoder
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -178,7 +178,7 @@ def vector_pack(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
     shard = F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")
-    dealt = pieces.filter(short).select(shard, "item", "doc_id", "start", "length", "prompt", "doc_tokens", "ids_crc32", "ids").repartition(min(shards, 4 * partitions(docs.sparkSession)) if shards > 1 else 1, "shard")
+    dealt = pieces.filter(short).select(shard, "item", "doc_id", "start", "length", "prompt", "doc_tokens", "ids_crc32", "ids").repartition(-(-shards // 4), "shard")  # tasks grow with the input
     packed = dealt.groupBy("shard").applyInArrow(run, _OUT)
     full = pieces.filter(~short).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)
