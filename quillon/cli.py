@@ -1,4 +1,4 @@
-"""Command line: ingest, reindex, search, evaluate, compact."""
+"""Command line: ingest, reindex, search, evaluate, export, compact."""
 
 from __future__ import annotations
 
@@ -159,6 +159,18 @@ def judge(args) -> tuple[dict, int]:
     return out | config | {"mean_query_latency_ms": round(took / max(1, out["cases"]), 3), "search_stages_ms": timings, "details": args.output}, 0
 
 
+def export(args) -> tuple[dict, int]:
+    """Documents with their elements, and chunks, as JSON lines: a folder each, parted by a hash of the document as the store is."""
+    store = Store(_session(), args.index)
+    held = store.settings()
+    for dataset in ("documents", "elements", "sections", "chunks"):
+        rows = store.read(dataset, held or None)
+        key = "id" if dataset == "documents" else "doc_id"
+        parted = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(store.buckets)).cast("int"))
+        parted.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").json(f"{args.output}/{dataset}")
+    return {"version": held["version"], "output": args.output}, 0
+
+
 def compact(args) -> tuple[dict, int]:
     store = Store(_session(), args.index)
     version = store.compact()
@@ -168,11 +180,12 @@ def compact(args) -> tuple[dict, int]:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillon")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, run in (("ingest", ingest), ("reindex", reindex), ("search", find), ("evaluate", judge), ("compact", compact)):
+    for name, run in (("ingest", ingest), ("reindex", reindex), ("search", find), ("evaluate", judge), ("export", export), ("compact", compact)):
         p = sub.add_parser(name)
         p.set_defaults(run=run)
         if name != "compact":
-            p.add_argument({"ingest": "path", "reindex": "output", "search": "query", "evaluate": "cases"}[name])
+            p.add_argument({"ingest": "path", "reindex": "output", "search": "query", "evaluate": "cases", "export": "output"}[name])
+        if name not in ("export", "compact"):
             p.add_argument("--embedding-model")
         p.add_argument("--index", required=True)
         if name in ("ingest", "reindex"):

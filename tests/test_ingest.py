@@ -316,6 +316,9 @@ def test_reindex_takes_the_newest_revision_only(spark, tmp_path, capsys):
     (docs_ / "a.txt").write_text("changed once more")
     assert cli.main(["reindex", str(tmp_path / "five"), "--index", index, "--refresh-structure", str(docs_)]) == 2
     assert cli.main(["compact", "--index", index, "--vacuum"]) == 0
+    assert cli.main(["export", str(tmp_path / "json"), "--index", index]) == 0 and cli.main(["export", str(tmp_path / "none"), "--index", str(tmp_path / "no")]) == 2
+    assert {r.text for r in spark.read.json(str(tmp_path / "json" / "chunks")).collect()} == {r.text for r in Store(spark, index).read("chunks").collect()}
+    assert spark.read.json(str(tmp_path / "json" / "elements")).count() == 4
 
 
 def test_unread_pages_end_strict_ingest(spark):
