@@ -149,35 +149,43 @@ def fragments(lines: DataFrame) -> DataFrame:
 
 def order_boxes(boxes: list[tuple[float, float, float, float]], width: float) -> list[int]:
     """Reading order of boxes (x0, y0, x1, y1): a page is cut at its widest empty vertical strip, else at its topmost empty
-    horizontal one, until nothing can be cut; what is left is read by rows of three points."""
-    done: list[int] = []
-    todo = [list(range(len(boxes)))]
+    horizontal one, until nothing can be cut; what is left is read by rows of three points.
 
-    def strips(part: list[int], axis: int) -> list[tuple[float, float]]:
-        """(width, middle) of the empty strips across an axis, in order."""
-        out, reach = [], None
-        for lo, hi in sorted((boxes[i][axis], boxes[i][axis + 2]) for i in part):
+    Boxes are sorted by either axis once; a cut keeps both orders, so it takes time in proportion to what it cuts."""
+    done: list[int] = []
+    todo = [tuple(sorted(range(len(boxes)), key=lambda i: (boxes[i][k], boxes[i][k + 2])) for k in (0, 1))]
+    column = max(18, width * 0.035)
+
+    def widest(part: list[int]) -> float | None:
+        """Middle of the widest empty vertical strip that parts columns; of equal ones the last."""
+        best, at, reach = column, None, None
+        for i in part:
+            lo, _, hi, _ = boxes[i]
             if reach is not None and lo > reach:
-                out.append((lo - reach, (lo + reach) / 2))
-            reach = hi if reach is None else max(reach, hi)
-        return out
+                if (gap := lo - reach) > column and gap >= best:
+                    best, at = gap, (lo + reach) / 2
+            reach = hi if reach is None or hi > reach else reach
+        return at
+
+    def topmost(part: list[int]) -> float | None:
+        reach = None
+        for i in part:
+            _, lo, _, hi = boxes[i]
+            if reach is not None and lo - reach > 5:
+                return (lo + reach) / 2
+            reach = hi if reach is None or hi > reach else reach
+        return None
 
     while todo:
-        part = todo.pop()
-        cut = None
-        if len(part) > 1:
-            wide = [s for s in strips(part, 0) if s[0] > max(18, width * 0.035)]
-            if wide:
-                cut = (0, max(wide)[1])
-            else:
-                flat = [s for s in strips(part, 1) if s[0] > 5]
-                cut = (1, flat[0][1]) if flat else None
-        if cut is None:
-            done += sorted(part, key=lambda i: (round(boxes[i][1] / 3), boxes[i][0]))
+        orders = todo.pop()
+        axis, at = 0, widest(orders[0]) if len(orders[0]) > 1 else None
+        if at is None and len(orders[0]) > 1:
+            axis, at = 1, topmost(orders[1])
+        if at is None:
+            done += sorted(sorted(orders[0]), key=lambda i: (round(boxes[i][1] / 3), boxes[i][0]))
         else:
-            axis, at = cut
-            todo.append([i for i in part if boxes[i][axis] >= at])
-            todo.append([i for i in part if boxes[i][axis + 2] <= at])
+            todo.append(tuple([i for i in x if boxes[i][axis] >= at] for x in orders))
+            todo.append(tuple([i for i in x if boxes[i][axis + 2] <= at] for x in orders))
     return done
 
 
