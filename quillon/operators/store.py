@@ -191,7 +191,7 @@ class Store:
             if chunks.count() != vectors.join(chunks.select("id"), "id", "left_semi").count():
                 raise ValueError("one vector a chunk is needed")
         by_doc = chunks.select("id", "doc_id")
-        tables = {"documents": documents, "sections": sections, "chunks": chunks, "postings": postings(chunks).join(by_doc, "id"), "lengths": chunk_lengths(chunks).join(by_doc, "id")}
+        tables = {"documents": documents, "sections": sections, "chunks": chunks, "postings": postings(chunks, "doc_id"), "lengths": chunk_lengths(chunks, "doc_id")}
         tables |= {d: df for d, df in (("vectors", vectors), ("elements", elements), ("pages", pages)) if df is not None}
 
         def check(held: dict):
