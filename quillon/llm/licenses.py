@@ -59,39 +59,62 @@ def known_texts() -> list[tuple[str, str]]:
     return out
 
 
-_COPYRIGHT = r"^\W*(copyright|\(c\)|©|all rights reserved)"
-
-
-def _canonical_line(line: Column) -> Column:
-    """Lower case, other than letters and digits to single spaces, one spelling; copyright lines are empty."""
-    low = F.lower(line)
-    plain = F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+#: Patterns over lower-case text. A copyright line names a year, a sign or "by" after the word; a list mark stands at a paragraph's start or after a sentence.
+_GAP = r"[\t\n\f\r ]"
+_YEAR = r"[\[<{(]?(\d{4}|19yy|yyyy|year)"
+_COPYRIGHT = rf"^[^\p{{L}}\p{{N}}(©]*((portions )?copyright{_GAP}*[:,]?{_GAP}*(\(c\)|©|{_YEAR}|by )|\(c\){_GAP}*(copyright{_GAP}*)?{_YEAR}|©|all rights reserved[^\p{{L}}\p{{N}}]*$)"
+_NAMED = rf"^[^\p{{L}}\p{{N}}]*Copyright{_GAP}+[A-Z][a-z]"
+_NOT_NAMED = rf"^[^\p{{L}}\p{{N}}]*Copyright{_GAP}+(Holder|Owner|Notice|Law|Act|Licen|Statement|Office|Disclaimer|And|Or|Infringement)"
+_PARAGRAPHS = r"\n[ \t\r]*\n"
+_MARK = rf"(^{_GAP}*|[.:;]{_GAP}+((and|or){_GAP}+)?|\n[ \t\r]*\n{_GAP}*)\(?([0-9]{{1,2}}|[a-z]|[ivx]+)[.)]{_GAP}+"
+#: A paragraph that begins with a copyright notice and is shorter is that notice, wrapped.
+_NOTICE = 400
+
+
+def _words(text: Column) -> Column:
+    """Lower case without list marks, other than letters and digits to single spaces, one spelling."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _MARK, "$1 "), r"[^\p{L}\p{N}]+", " "))
     for other, one in SPELLINGS.items():
         plain = F.replace(plain, F.lit(other), F.lit(one))
-    return F.when(low.rlike(_COPYRIGHT), F.lit("")).otherwise(plain)
+    return plain
+
+
+def _is_notice(text: Column) -> Column:
+    return F.lower(text).rlike(_COPYRIGHT) | (text.rlike(_NAMED) & ~text.rlike(_NOT_NAMED))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of an entire text: its lines' forms, joined by spaces."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), _canonical_line)
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    """The canonical forms of an entire text, an array: with its copyright notices, without the lines that are one, and without the paragraphs.
+
+    Lines are joined before punctuation and spellings go, so a form doesn't depend on where lines are wrapped. A licence's own copyright lines, which
+    wrapping may join to what follows, meet by the first form, a holder's by the second, a holder's that is wrapped itself by the third."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    by_line = F.array_join(F.filter(_lines(text), lambda x: ~_is_notice(x)), "\n")
+    by_paragraph = F.array_join(F.filter(F.split(text, _PARAGRAPHS, -1), lambda x: ~(_is_notice(x) & (F.length(x) < _NOTICE))), "\n\n")
+    forms = F.when(F.lower(text).rlike(r"copyright|\(c\)|©|all rights reserved"), F.array(text, by_line, by_paragraph)).otherwise(F.array(text))
+    return F.array_remove(F.array_distinct(F.transform(forms, _words)), "")
 
 
 def known_licenses(spark: SparkSession, licenses: list[tuple[str, str]] = LICENSES) -> DataFrame:
-    """(license, digest), each pair once."""
-    return spark.createDataFrame(licenses, "license string, text string").select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
+    """(license, digest) of every canonical form, each pair once."""
+    texts = spark.createDataFrame(licenses, "license string, text string")
+    return texts.select("license", F.explode(F.transform(canonical(F.col("text")), F.md5)).alias("digest")).distinct()
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, license, scope, n): licences whose canonical text is a document's entire text (scope text, n = 1) or that of
+    """(doc_id, license, scope, n): licences of which a canonical form is one of a document's entire text (scope text, n = 1) or that of
     n of its lines (scope line).
 
     docs: doc_id, text; known: license, digest, of a size fixed by the list of licences, so it is broadcast. Null and empty
-    texts, and those of copyright lines only, match none; repeated rows of a doc_id add up their lines; rows with a null
-    doc_id are found under it; a digest with two names gives both. Empty tables give an empty one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1), _canonical_line), lambda x: x != "")
-    canon = docs.select("doc_id", lines.alias("lines")).where(F.size("lines") > 0)
-    pieces = canon.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit("text").alias("scope"), F.md5(F.array_join("lines", " ")).alias("digest"))), F.transform("lines", lambda x: F.struct(F.lit("line").alias("scope"), F.md5(x).alias("digest"))))).alias("p"))
+    texts, and those of copyright lines only, match none; repeated rows of a doc_id, and different texts under one, add up their lines; rows
+    with a null doc_id are found under it; a digest with two names gives both. Empty tables give an empty one."""
+    lines = F.filter(F.transform(F.filter(_lines(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda x: ~_is_notice(x)), _words), lambda x: x != "")
+    digests = lambda forms, scope: F.transform(forms, lambda x: F.struct(F.lit(scope).alias("scope"), F.md5(x).alias("digest")))
+    pieces = docs.select("doc_id", F.explode(F.concat(digests(canonical(F.col("text")), "text"), digests(lines, "line"))).alias("p"))
     found = pieces.select("doc_id", "p.scope", "p.digest").join(F.broadcast(known), "digest")
     return found.groupBy("doc_id", "license", "scope").agg(F.count("*").alias("n")).select("doc_id", "license", "scope", F.when(F.col("scope") == "text", F.lit(1)).otherwise(F.col("n")).cast("long").alias("n"))
 
@@ -101,23 +124,36 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    def canon(x: str) -> str:
-        out = rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    """The same over the same known texts; forms are compared themselves, not their digests."""
+
+    def words(x: str) -> str:
+        mark, one_space = _MARK.replace("'", "''"), r"[^\p{L}\p{N}]+"
+        out = rf"trim(regexp_replace(regexp_replace(lower({x}), '{mark}', '\1 ', 'g'), '{one_space}', ' ', 'g'))"
         for other, one in SPELLINGS.items():
             out = f"replace({out}, '{other}', '{one}')"
-        return rf"CASE WHEN regexp_matches(lower({x}), '^[^\p{{L}}\p{{N}}_]*(copyright|\(c\)|©|all rights reserved)') THEN '' ELSE {out} END"
+        return out
+
+    def notice(x: str) -> str:
+        return f"(regexp_matches(lower({x}), '{_COPYRIGHT}') OR (regexp_matches({x}, '{_NAMED}') AND NOT regexp_matches({x}, '{_NOT_NAMED}')))"
+
+    def forms(source: str, *keys: str) -> str:
+        names = ", ".join(keys)
+        return f"""SELECT DISTINCT {names}, {words("t")} AS form FROM (
+    SELECT {names}, t FROM {source}
+    UNION ALL SELECT {names}, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT {notice("x")}), chr(10)) FROM {source}
+    UNION ALL SELECT {names}, array_to_string(list_filter(string_split_regex(t, '{_PARAGRAPHS}'), lambda x: NOT ({notice("x")} AND length(x) < {_NOTICE})), chr(10) || chr(10)) FROM {source}
+  ) AS f WHERE {words("t")} <> ''"""
 
-    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in LICENSES)
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in dict.fromkeys(known_texts()))
     return f"""
-WITH known AS (SELECT license, unnest(string_split(text, chr(10))) AS line, i, generate_subscripts(string_split(text, chr(10)), 1) AS place
-  FROM (SELECT *, row_number() OVER () AS i FROM (VALUES {rows}) AS v(license, text))),
-names AS (SELECT DISTINCT license, string_agg(c, ' ' ORDER BY place) AS form FROM (SELECT *, {canon("line")} AS c FROM known) WHERE c <> '' GROUP BY license, i),
-lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
-forms AS (SELECT doc_id, place, {canon("line")} AS c FROM lines),
+WITH known AS (SELECT license, t FROM (VALUES {rows}) AS v(license, t)),
+docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+names AS (SELECT DISTINCT license, form FROM ({forms("known", "license")}) AS n),
+lines AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), lambda x: NOT {notice("x")})) AS line FROM docs),
 pieces AS (
-  SELECT doc_id, 'line' AS scope, c AS form FROM forms WHERE c <> ''
-  UNION ALL SELECT doc_id, 'text', string_agg(c, ' ' ORDER BY place) FROM forms WHERE c <> '' GROUP BY doc_id)
-SELECT doc_id, license, scope, count(*) AS n FROM pieces JOIN names USING (form) GROUP BY doc_id, license, scope
+  SELECT doc_id, 'line' AS scope, {words("line")} AS form FROM lines WHERE {words("line")} <> ''
+  UNION ALL SELECT doc_id, 'text', form FROM ({forms("docs", "doc_id")}) AS d)
+SELECT doc_id, license, scope, CASE WHEN scope = 'text' THEN 1 ELSE count(*) END AS n FROM pieces JOIN names USING (form) GROUP BY doc_id, license, scope
 """
 
 

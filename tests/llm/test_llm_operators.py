@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +143,6 @@ def test_licenses(spark, odd_docs):
 
 def test_license_files(spark, tmp_path):
     """Whole files of licences, with title and copyright line, as the registered query finds them."""
-    from pathlib import Path
-
     mit = licenses.LICENSES[0][1]
     rows = [(1, "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit), (2, "The MIT License (MIT)\nCopyright 2021 X\n" + mit), (3, "BSD 3-Clause License\n\nCopyright (c) 2020, Y\nAll rights reserved.\n\n" + licenses.LICENSES[3][1])]
     want = {(1, "MIT"), (2, "MIT"), (3, "BSD-3-Clause")}
@@ -156,6 +155,38 @@ def test_license_files(spark, tmp_path):
     assert {(r.doc_id, r.license) for r in got if r.scope == "text"} == want and len(want) >= 15
 
 
+def test_licenses_at_all_widths(spark, tmp_path):
+    """Every known text wrapped anew at all widths from 60 to 100, with other list marks, and the SQL over the same rows."""
+    import textwrap
+
+    import duckdb
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in text.split("\n\n"))
+
+    rows, want = [], {}
+    for name, text in licenses.LICENSES[:4]:
+        for width in range(60, 101):
+            body = "\n".join(textwrap.fill(x, width) for x in text.split("\n"))
+            holder = textwrap.fill("Copyright (c) 2001-2020, The Board of Regents of a University with a Long Name and its Many Contributors. All rights reserved.", width)
+            for form in (body, f"{licenses.TITLES[name][0]}\n\nCopyright (c) 2020 Some Body\n\n{body}", f"{holder}\n\n{wrapped(text, width)}", body.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), f"Copyright Jane Doe\n{body}"):
+                want[len(rows)] = name
+                rows.append((len(rows), form))
+    for path in sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt")):
+        for width in range(60, 101):
+            want[len(rows)] = path.stem
+            rows.append((len(rows), wrapped(path.read_text(), width)))
+    others = [licenses.LICENSES[0][1] + "\nmore", "Copyright notice", "3. ", "Licensed under the GNU General Public License,\nversion 2.", None, ""]
+    rows += [(len(rows) + i, x) for i, x in enumerate(others)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in licenses.op3(spark, str(tmp_path)).collect()]
+    found = {(d, name) for d, name, scope, _ in got if scope == "text"}
+    assert {d: name for d, name in want.items() if (d, name) not in found} == {}
+    assert {d for d, _ in found} == set(want)
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duckdb.sql(licenses.OP3_SQL).fetchall()) == sorted(got)
+
+
 def test_passages(spark, odd_docs):
     random.seed(6)
     text = lambda n: " ".join(random.choice("abcdefghij") + str(random.randint(0, 999)) + random.choice(["", "", "", "."]) for _ in range(n))
