@@ -311,3 +311,47 @@ def test_repeated_passage_recall(spark):
     for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + r.n_words
     assert sum(words.get(2 * i + 1, 0) >= 150 for i in range(30)) >= 27
+
+
+def test_short_passage_recall(spark):
+    """Exact passages of 25 words and near ones of 50 words (Jaccard likeness of 0.8 at least) inside long lines, among sentences and without, aligned to them or not."""
+    random.seed(25)
+    kinds = {"25": (25, 0), "28": (28, 0), "36": (36, 0), "50 and an edit": (50, 1), "60 and an edit": (60, 1), "100 and two edits": (100, 2)}
+    rows, planted = [], {}
+
+    def text(n, stop, first=0):
+        return [f"w{random.randint(0, 10**6)}" + ("." if stop and (i + first) % stop == stop - 1 else "") for i in range(n)]
+
+    for kind, (n, edits) in kinds.items():
+        for i in range(40):
+            stop, aligned = (0, 9, 14)[i % 3], i % 2
+            own = text(n, stop, 0 if aligned else 5)
+            if aligned and stop:
+                own[-1] = own[-1].rstrip(".") + "."
+            other = list(own)
+            for k in range(edits):
+                # anywhere an edit leaves a likeness of 0.8
+                at = random.randrange(4, n - 4) if edits == 1 else (33 + 34 * k)
+                other[at] = f"edit{at}"
+            for doc, passage in ((2 * len(planted), own), (2 * len(planted) + 1, other)):
+                before = random.randint(30, 90)
+                head = text(before, stop)
+                if aligned and stop:
+                    head[-1] = head[-1].rstrip(".") + "."
+                rows.append((doc, " ".join([*head, *passage, *text(random.randint(30, 90), stop)])))
+                if doc % 2:
+                    planted[doc] = (kind, before, before + n)
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.n_words >= 25
+        if r.removed:
+            got.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    assert set(got) <= set(planted)
+    found = dict.fromkeys(kinds, 0)
+    for doc, (kind, lo, hi) in planted.items():
+        own = got.get(doc, set())
+        assert own <= set(range(lo, hi))
+        # a part of half the words of a near one, less the edit, is equal
+        found[kind] += len(own) == hi - lo if not kinds[kind][1] else len(own) >= 25
+    print(found)
+    assert all(n >= 38 for n in found.values()), found
