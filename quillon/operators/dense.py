@@ -109,11 +109,32 @@ def check_vectors(vectors: DataFrame, dimension: int) -> None:
         raise ValueError(f"vectors must have {dimension} finite values")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def best_of_block(v: np.ndarray, seq: np.ndarray, q: np.ndarray, k: int, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k rows of v with the greatest inner product with each query; equal ones by seq.
+
+    A matrix product finds those that can be among the k; their scores are added up place by place, so that equal vectors have equal scores."""
+    out, norms = [], np.sqrt((v * v).sum(axis=1))
+    slack = 1e-12 * v.shape[1] * (norms.max() if len(norms) else 0.0)
+    for lo in range(0, len(q), at_once):
+        part = q[lo : lo + at_once]
+        scores = v @ part.T
+        kth = np.partition(scores, len(v) - k, axis=0)[len(v) - k] if len(v) > k else np.full(len(part), -np.inf)
+        row, query = np.nonzero(scores >= kth - slack * np.sqrt((part * part).sum(axis=1)))
+        score = np.zeros(len(row))
+        for x in range(v.shape[1]):
+            score += v[row, x] * part[query, x]
+        order = np.lexsort((seq[row], -score, query))
+        row, query, score = row[order], query[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        out.append((query[place < k] + lo, row[place < k], score[place < k]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, rows_at_once: int = 16384) -> DataFrame:
     """(query_id, id, score, rank): the k vectors of greatest inner product with each query; equal ones by ingest_seq.
 
     vectors: id, ingest_seq, vector; queries: query_id, vector; filters go before. Queries are taken in blocks of at most `block` vectors, which is what is
-    broadcast; each batch of rows keeps its own k best of every query, so that little is shuffled."""
+    broadcast; each task keeps the k best of every query of each `rows_at_once` rows, so that little is shuffled."""
     spark = vectors.sparkSession
     rows = queries.select("query_id", "vector")
     blocks = max(1, -(-rows.count() // block))
@@ -124,18 +145,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) ->
         own = part.collect()
         if not own:
             continue
-        held = spark.sparkContext.broadcast(([r[0] for r in own], np.array([r[1] for r in own], np.float64)))
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in own], object), np.array([r[1] for r in own], np.float64)))
 
         def run(it, held=held):
             names, q = held.value
+
+            def best(parts):
+                ids, seq, v = (np.concatenate(x) for x in zip(*parts))
+                query, row, score = best_of_block(v, seq, q, k)
+                return pd.DataFrame({"query_id": names[query], "id": ids[row], "ingest_seq": seq[row], "score": score})
+
+            parts, n = [], 0
             for pdf in it:
-                if not len(pdf):
-                    continue
-                scores = np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ q.T
-                seq = pdf["ingest_seq"].to_numpy()
-                for j, name in enumerate(names):
-                    best = np.lexsort((seq, -scores[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": name, "id": pdf["id"].to_numpy()[best], "ingest_seq": seq[best], "score": scores[best, j]})
+                for lo in range(0, len(pdf), rows_at_once):
+                    some = pdf.iloc[lo : lo + rows_at_once]
+                    if n and n + len(some) > rows_at_once:
+                        yield best(parts)
+                        parts, n = [], 0
+                    parts.append((some["id"].to_numpy(), some["ingest_seq"].to_numpy(), np.stack(some["vector"].to_numpy()).astype(np.float64)))
+                    n += len(some)
+            if n:
+                yield best(parts)
 
         some = vectors.select("id", F.col("ingest_seq").cast("long").alias("ingest_seq"), "vector").mapInPandas(run, f"query_id {q_type}, id {id_type}, ingest_seq long, score double")
         found = some if found is None else found.unionByName(some)

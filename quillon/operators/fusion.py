@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import kept
 from .dense import load
 
 #: Weights of the lists, and what is added to a rank.
@@ -121,6 +122,7 @@ def rerank(fused: DataFrame, reranker: Reranker | Callable[[str, list[str]], lis
         pairs = list(zip(query, window))
         return pd.Series([float(x) for i in range(0, len(pairs), batch) for x in reranker.predict(pairs[i : i + batch])])
 
+    fused = kept(fused)
     best = passage_windows(fused, reranker).withColumn("_score", score("query", "window")).groupBy("query_id", "id").agg(F.max("_score").alias("rerank"))
     return fused.join(best, ["query_id", "id"]).withColumn("place", F.row_number().over(w))
 

@@ -53,12 +53,16 @@ def ranked_lists(queries: DataFrame, chunks: DataFrame, mode: str, pool: int, va
         if variants:
             more = queries.select("query_id", F.posexplode(query_variants(F.col("text"))).alias("n", "text"))
             texts = texts.unionByName(more.select("query_id", F.concat(F.lit("lexical_variant_"), (F.col("n") + 1).cast("string")).alias("method"), "text"))
-        scores = lexical.bm25(texts, lexical.postings(chunks) if posts is None else posts, lexical.chunk_lengths(chunks) if lengths is None else lengths)
-        if filtered:
-            scores = scores.join(allowed.select("id"), "id", "left_semi")
         if _scoped(queries):
+            scores = lexical.bm25(texts, lexical.postings(chunks) if posts is None else posts, lexical.chunk_lengths(chunks) if lengths is None else lengths)
+            if filtered:
+                scores = scores.join(allowed.select("id"), "id", "left_semi")
             of = chunks.select("id", F.col("doc_id").alias("_doc"), F.col("category").alias("_category"))
             scores = scores.join(queries.select("query_id", *SCOPES), "query_id").join(of, "id").where(_inside()).select("query_id", "method", "id", "score")
+        else:
+            if posts is not None and lengths is None:
+                lengths = lexical.chunk_lengths(chunks)
+            scores = lexical.bm25_top(texts, pool, chunks, posts, lengths, allowed.select("id") if filtered else None)
         lists.append(lexical.top(scores, pool, "id").select("query_id", "method", "id", "rank", "score"))
     if mode in ("dense", "hybrid"):
         if vectors is None or "vector" not in queries.columns:
@@ -88,7 +92,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, mode: str = "hybri
 
     def stage(name: str, make) -> DataFrame:
         began = time.perf_counter()
-        out = make() if timings is None else kept(make())
+        # what is reranked is read several times
+        out = make() if timings is None and (reranker is None or name == "format") else kept(make())
         if timings is not None:
             timings[f"{name}_ms"] = round((time.perf_counter() - began) * 1000, 3)
         return out

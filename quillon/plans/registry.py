@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import chunking, dense, evaluate, fusion, layout, lexical, search, sections, store
 from ..sources import files
 from ..sources import tables as S
-from ..sources.scratch import new_folder
+from ..sources.scratch import kept, new_folder, written
 from . import sql as Q
 
 _QUERIES: dict = {}
@@ -269,7 +269,7 @@ def _hits(scores: DataFrame, k: int) -> DataFrame:
 @_query(Q.bm25("benchmark AS q", "q.text", "lexical", k=5))
 def bm25_search(spark, d):
     chunks = _chunks(spark, d)
-    return _hits(lexical.bm25(_asked(spark, d).withColumn("method", F.lit("lexical")), lexical.postings(chunks), lexical.chunk_lengths(chunks)), 5)
+    return _hits(lexical.bm25_top(_asked(spark, d).withColumn("method", F.lit("lexical")), 5, chunks), 5)
 
 
 @_query(Q.bm25("benchmark AS q", "q.text", "lexical", k=5, where="source = 'src0'"))
@@ -300,7 +300,8 @@ def _both_lists(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks = _chunks(spark, d)
     vectors = _vectors(spark, d)
     asked = chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
-    return asked.join(vectors.select(F.col("id").alias("query_id"), "vector"), "query_id"), chunks, vectors.select("id", "ingest_seq", "vector").join(chunks.select("id"), "id", "left_semi")
+    asked = kept(asked.join(vectors.select(F.col("id").alias("query_id"), "vector"), "query_id"))  # few, read several times
+    return asked, chunks, vectors.select("id", "ingest_seq", "vector").join(chunks.select("id"), "id", "left_semi")
 
 
 @_query(Q.HYBRID)
@@ -365,7 +366,7 @@ def eval_metrics(spark, d):
     asked, docs = _asked(spark, d), S.read(spark, d, "documents", "doc_id", "text")
     pairs = _relevant(asked, docs)
     chunks = _chunks(spark, d)
-    hits = lexical.top(lexical.bm25(asked.withColumn("method", F.lit("lexical")), lexical.postings(chunks), lexical.chunk_lengths(chunks)), 5, "id")
+    hits = lexical.top(lexical.bm25_top(asked.withColumn("method", F.lit("lexical")), 5, chunks), 5, "id")
     out = evaluate.retrieval_metrics(evaluate.first_hits(hits, pairs))
     return out.select("cases", *[F.round(c, 6).alias(c) for c in ("hit_rate", "mrr", "recall")])
 
@@ -405,7 +406,7 @@ def bm25_phrases(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     asked = _asked(spark, d).withColumn("w", words).select("query_id", F.lit("lexical").alias("method"), F.concat_ws(" ", w(2, 3), w(5, 6, 7), w(9)).alias("text"))
     chunks = _chunks(spark, d)
-    return _hits(lexical.bm25(asked, lexical.postings(chunks), lexical.chunk_lengths(chunks)), 5).drop("method")
+    return _hits(lexical.bm25_top(asked, 5, chunks), 5).drop("method")
 
 
 @_query(Q.ENCODE_LONG)
@@ -498,7 +499,7 @@ def eval_details(spark, d):
     w = lambda n: F.try_element_at(F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0)), F.lit(n))
     evidence = F.array(F.array(w(1)), F.array(F.concat_ws(" ", w(2), w(3))), F.array(F.lit("qqzz"), w(5)))
     cases = asked.select("query_id", evidence.alias("answer_evidence")).join(relevant, "query_id")
-    top = lexical.top(lexical.bm25(asked.withColumn("method", F.lit("lexical")), lexical.postings(chunks), lexical.chunk_lengths(chunks)), 5, "id")
+    top = lexical.top(lexical.bm25_top(asked.withColumn("method", F.lit("lexical")), 5, chunks), 5, "id")
     cited = F.array(F.struct(F.concat(F.lit("d"), F.col("id").cast("string")).alias("source"), F.lit(1).alias("page")))
     hits = top.join(chunks.select("id", "context", "text"), "id").select("query_id", F.col("rank").alias("place"), F.col("id").cast("string").alias("id"), "context", "text", cited.alias("citations"))
     out = evaluate.case_details(cases, hits)
@@ -514,6 +515,7 @@ def search_hits(spark, d):
 def _flagship(spark, d) -> DataFrame:
     lines = _lines(spark, d)
     chunks = chunking.with_ids(chunking.pack(lines)).join(lines.groupBy("doc_id").agg(F.first("category").alias("category")), "doc_id").withColumn("context", F.col("doc_id").cast("string"))
+    chunks = written(chunks, "chunks")  # packed once, read by postings, lengths and hits
     hits = search.search(_asked(spark, d), chunks, 5, "lexical")
     return hits.select("query_id", "place", "id", "doc_id", F.round("score", 9).alias("score"), "retrieval_mode", "context", "text", "first", "last")
 

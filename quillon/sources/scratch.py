@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -27,3 +28,20 @@ def kept(df: DataFrame) -> DataFrame:
     """df computed once, written to the shared folder: what reads it several times reads files, also after executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As kept, but as Parquet, which takes less room; it goes when the driver ends."""
+    path = new_folder(df.sparkSession, name)
+    atexit.register(_drop, df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may have ended before
+        pass
