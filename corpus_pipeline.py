@@ -35,7 +35,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Where each piece of each remaining document lies in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers still hold what earlier stages left in their memory: small batches and few kept units leave room beside it
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), batch_bytes=1 << 20, kept_units=200_000)
 
 
 STAGES = [

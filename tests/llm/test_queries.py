@@ -355,3 +355,21 @@ def test_short_passage_recall(spark):
         found[kind] += len(own) == hi - lo if not kinds[kind][1] else len(own) >= 25
     print(found)
     assert all(n >= 38 for n in found.values()), found
+
+
+def test_pipeline_packs_in_little_memory(spark, monkeypatch, path):
+    """The last stage shares its workers with what the stages before it left: small batches, few kept units, the same rows."""
+    import corpus_pipeline
+    from quillon.llm import packing
+
+    seen, whole = {}, packing.token_pieces
+
+    def spied(docs, tokenizer, end_id, capacity, batch_bytes, kept_units):
+        seen.update(batch_bytes=batch_bytes, kept_units=kept_units)
+        return whole(docs, tokenizer, end_id, capacity, batch_bytes, kept_units)
+
+    monkeypatch.setattr(packing, "token_pieces", spied)
+    docs = spark.createDataFrame([(i, f"word{i} other words {i % 3} " * (1 + i % 900)) for i in range(60)], "doc_id long, text string")
+    own = {tuple(r)[:5] for r in corpus_pipeline.best_fit_packing(spark, docs, "").collect()}
+    assert seen["batch_bytes"] <= 1 << 20 and seen["kept_units"] <= 300_000
+    assert own == {tuple(r) for r in whole(docs, path("word_bpe_49k.json"), 0, 2048, 4 << 20, 1_000_000).collect()}
