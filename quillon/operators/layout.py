@@ -32,11 +32,17 @@ def boilerplate(elements: DataFrame, pages: DataFrame | None = None) -> DataFram
     """elements with side and excluded: margins whose text repeats on enough pages, or is a page number, are headers and footers.
 
     pages: doc_id, page, height of all pages, blank ones too; without it pages are HEIGHT high, and the last one with elements is a
-    document's last."""
-    counts = (elements if pages is None else pages).groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    document's last. Rows without a doc_id are left out."""
     tall = _with_height(elements, pages)
     keyed = tall.withColumn("side", margin_side(F.col("y0"), F.col("y1"), F.col("_height"))).withColumn("key", F.when(F.col("side").isNotNull(), margin_key(F.col("text"), False)))
-    joined = keyed.join(margin_counts(tall), ["doc_id", "side", "key"], "left").join(counts, "doc_id")
+    if pages is None:
+        # windows of a document's rows, the whole document's first: its rows are dealt out once, and all later ones find them together
+        rows = keyed.where("doc_id IS NOT NULL").withColumn("page_count", F.max("page").over(Window.partitionBy("doc_id")))
+        seen = F.size(F.collect_set("page").over(Window.partitionBy("doc_id", "side", "key")))
+        joined = rows.withColumn("pages", F.when(F.col("side").isNotNull() & F.col("key").isNotNull(), seen))
+    else:
+        counts = pages.groupBy("doc_id").agg(F.max("page").alias("page_count"))
+        joined = keyed.join(margin_counts(tall), ["doc_id", "side", "key"], "left").join(counts, "doc_id")
     repeated = F.col("pages") >= F.greatest(F.lit(3.0), F.col("page_count") * 0.25)
     number = F.col("text").rlike(r"(?i)^(?:page\s*)?\p{Nd}+(?:\s*(?:of|/)\s*\p{Nd}+)?$")
     excluded = F.col("side").isNotNull() & F.coalesce(repeated | number, F.lit(False))
@@ -66,8 +72,18 @@ def headings(elements: DataFrame, bookmarks: DataFrame | None = None) -> DataFra
     """elements (after boilerplate) with kind and level: headings by number, label, bookmark or style; lists; paragraphs.
 
     The sizes come from the elements as they were before boilerplate, as all paragraphs count. bookmarks: doc_id, page, key, level."""
-    raw = elements.withColumn("kind", F.when(F.col("kind").isin("header", "footer"), "paragraph").otherwise(F.col("kind")))
-    joined = elements.join(large_sizes(raw), "doc_id", "left").join(body_sizes(raw, "doc_id", "page").withColumnRenamed("body", "local"), ["doc_id", "page"], "left")
+    whole, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page")
+    plain = F.coalesce(F.col("kind").isin("header", "footer", "paragraph"), F.lit(False))
+    joined = elements.withColumn("_all", F.count("*").over(whole)).withColumn("_plain", plain).withColumn("_size", F.when(plain, F.bround("font_size", 1)))
+    most = lambda w: F.max_by("_size", F.when(F.col("_plain"), F.struct("_chars", -F.col("_first")))).over(w)
+    for name, w, keys in (("body", whole, ["doc_id"]), ("local", page, ["doc_id", "page"])):
+        of_size = Window.partitionBy(*keys, "_plain", "_size")
+        joined = joined.withColumn("_chars", F.sum(F.length("text")).over(of_size)).withColumn("_first", F.min("ordinal").over(of_size)).withColumn(name, most(w))
+        if name == "body":
+            big = F.col("_plain") & (F.col("_size") > F.col("body") * 1.08) & (F.col("_chars") > 30)
+            joined = joined.withColumn("large", F.sort_array(F.collect_set(F.when(big, F.col("_size"))).over(whole), asc=False))
+    known = F.col("doc_id").isNotNull()
+    joined = joined.withColumn("body", F.when(known, F.col("body"))).withColumn("large", F.when(known, F.col("large"))).withColumn("local", F.when(known & F.col("page").isNotNull(), F.col("local")))
     if bookmarks is None:
         joined = joined.withColumn("mark", F.lit(None).cast("int"))
     else:
@@ -254,8 +270,12 @@ def page_boxes(boxes: DataFrame, transforms: DataFrame) -> DataFrame:
     return corners.select(*[mapped[c].alias(c) if c in mapped else F.col(c) for c in boxes.columns])
 
 
-def centers(values: DataFrame, key: str, value: str, tolerance: float = 4.0) -> DataFrame:
-    """(key, center, n): values of a key in groups of neighbours at most `tolerance` apart, their means in order."""
+def centers(values: DataFrame, key: str, value: str, tolerance: float = 4.0, rows_a_task: int = 1_000_000) -> DataFrame:
+    """(key, center, n): values of a key in groups of neighbours at most `tolerance` apart, their means in order.
+
+    Keys are dealt to as many tasks as keep each at about rows_a_task rows, so that a task's sort and groups don't grow with the table."""
+    spark = values.sparkSession
+    values = values.repartition(max(spark.sparkContext.defaultParallelism, -(-values.count() // rows_a_task)), key)
     w = Window.partitionBy(key).orderBy(value)
     new = F.when(F.col(value) - F.lag(value).over(w) <= tolerance, 0).otherwise(1)
     grouped = values.withColumn("_new", new).withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
