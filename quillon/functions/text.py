@@ -8,6 +8,7 @@ from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,6 +141,8 @@ def unit_vector(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
+#: Texts of an Arrow batch that are Python's strings at once.
+AT_ONCE = 128
 _UNIT = re.compile(r"\w+|[^\w\s]")
 _SENTENCE = re.compile(r"[.!?]\s+|\n\s*\n")
 _GAP = re.compile(r"\s+")
@@ -186,10 +189,11 @@ def split_text(text: str, budget: int) -> list[str]:
 
 
 def split_parts(text: Column, budget: int) -> Column:
-    """array<string> of split_text; texts within the budget don't go to Python."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: [] if t is None else split_text(t, budget))
+    """array<string> of split_text; texts within the budget don't go to Python. A few texts at a time are Python's strings."""
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(x: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        some = [pa.array([[] if t is None else split_text(t, budget) for t in x.slice(lo, AT_ONCE).to_pylist()], kind) for lo in range(0, len(x), AT_ONCE)]
+        return pa.concat_arrays(some) if some else pa.array([], kind)
 
     return F.when(token_count(text) <= budget, F.array(text)).otherwise(cut(F.when(token_count(text) > budget, text)))

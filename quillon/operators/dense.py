@@ -6,11 +6,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import unit_vector
+from ..functions.text import AT_ONCE
 
 
 #: Tokens of a window that a model keeps for itself, and the least size of a window.
@@ -184,20 +185,25 @@ def pooled(windows: DataFrame) -> DataFrame:
     return joined.select("owner", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))).alias("vector"))
 
 
+def _windows(text: str, embedder: Embedder, limit: int) -> list[tuple[int, str]]:
+    tokens = embedder.tokenize(text)
+    if len(tokens) <= limit:
+        return [(max(1, len(tokens)), text)]
+    return [(len(tokens[i : i + limit]), embedder.detokenize(tokens[i : i + limit])) for i in range(0, len(tokens), limit)]
+
+
 def text_windows(df: DataFrame, embedder: Embedder) -> DataFrame:
     """(owner, at, n, weight, window): texts (id, text) cut to windows of as many tokens as the model takes, one after another; n windows each.
     A text of one window is it as it stands; a window weighs its tokens, 1 at least."""
 
-    @F.pandas_udf("array<struct<weight:int,window:string>>")
-    def cut(x: pd.Series) -> pd.Series:
-        limit, out = max(LEAST, embedder.max_tokens - SPARE), []
-        for text in x.fillna(""):
-            tokens = embedder.tokenize(text)
-            if len(tokens) <= limit:
-                out.append([(max(1, len(tokens)), text)])
-            else:
-                out.append([(len(tokens[i : i + limit]), embedder.detokenize(tokens[i : i + limit])) for i in range(0, len(tokens), limit)])
-        return pd.Series(out)
+    limit = max(LEAST, embedder.max_tokens - SPARE)
+
+    @F.arrow_udf("array<struct<weight:int,window:string>>")
+    def cut(x: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("weight", pa.int32()), ("window", pa.string())]))
+        dicts = lambda t: [{"weight": n, "window": w} for n, w in _windows(t or "", embedder, limit)]
+        some = [pa.array([dicts(t) for t in x.slice(lo, AT_ONCE).to_pylist()], kind) for lo in range(0, len(x), AT_ONCE)]
+        return pa.concat_arrays(some) if some else pa.array([], kind)
 
     rows = df.select(F.col("id").alias("owner"), cut(F.col("text")).alias("_w"))
     return rows.select("owner", F.size("_w").alias("n"), F.posexplode("_w").alias("at", "_p")).select("owner", "at", "n", "_p.weight", "_p.window")
@@ -206,11 +212,29 @@ def text_windows(df: DataFrame, embedder: Embedder) -> DataFrame:
 def encode_long(df: DataFrame, embedder: Embedder, batch: int = 32) -> DataFrame:
     """(id, vector) of texts (id, text) of any length: windows are embedded in batches, summed by weight for each owner, and brought to length 1.
 
-    Only texts of several windows are summed, so only those are shuffled."""
-    found = encode(text_windows(df, embedder), "window", embedder, batch)
-    alone = found.where("n = 1").select(F.col("owner").alias("id"), unit_vector(F.col("vector")).alias("vector"))
-    many = pooled(found.where("n > 1")).select(F.col("owner").alias("id"), "vector")
-    return alone.unionByName(many)
+    A text's windows are cut, embedded and summed in one task, a few texts at a time: nothing is shuffled, and memory holds those texts' windows only."""
+    kind = df.schema["id"].dataType
+    limit = max(LEAST, embedder.max_tokens - SPARE)
+
+    def run(it):
+        for part in it:
+            for lo in range(0, part.num_rows, AT_ONCE):
+                some, windows, weights, first = part.slice(lo, AT_ONCE), [], [], [0]
+                for text in some.column(1).to_pylist():
+                    for weight, window in _windows(text or "", embedder, limit):
+                        weights.append(weight)
+                        windows.append(window)
+                    first.append(len(windows))
+                v = np.concatenate([np.asarray(embedder.encode_documents(windows[i : i + batch]), np.float32) for i in range(0, len(windows), batch)]).astype(np.float64)
+                lone = np.diff(first) == 1
+                scale = np.where(np.repeat(lone, np.diff(first)), 1.0, np.array(weights, np.float64))
+                total = np.add.reduceat(v * scale[:, None], first[:-1], axis=0)
+                total /= np.maximum(np.sqrt((total * total).sum(axis=1)), 1e-12)[:, None]
+                ends = np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(total.ravel()))], names=["id", "vector"])
+
+    rows = df.select("id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 def encode_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
