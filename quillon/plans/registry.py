@@ -372,14 +372,8 @@ def eval_metrics(spark, d):
 
 
 def _relevant(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id) of documents that hold a query's text: candidates share its first five words, then the text is looked for."""
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    grams = lambda a: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(a) - 4), lambda i: F.xxhash64(F.array_join(F.slice(a, i, 5), " "))))
-    # the words are bound once, not made anew for each place
-    five = lambda w: F.element_at(F.transform(F.array(w), lambda a: F.when(F.size(a) >= 5, grams(a))), 1)
-    heads = asked.select("query_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice(words("text"), 2, 5), " ")).alias("key"))
-    keyed = docs.select("doc_id", F.explode(five(words("text"))).alias("key")).join(heads.select("query_id", "key"), "key").select("doc_id", "query_id").distinct()
-    return keyed.join(docs, "doc_id").join(heads, "query_id").where(F.expr("instr(text, passage) > 0")).select("query_id", F.col("doc_id").alias("id"))
+    """(query_id, id) of documents that hold a query's text: those with its second to sixth word in a row, then the text is looked for."""
+    return evaluate.holders(asked.select("query_id", F.col("text").alias("passage")), docs.select(F.col("doc_id").alias("id"), "text"))
 
 
 @_query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
