@@ -257,6 +257,55 @@ def test_passages_keep_each_class(spark):
     assert [sum(p in t for t in rest) for p in (p1, p2, p3)] == [1, 1, 1]
 
 
+def test_dense_groups_are_linked_by_leaders(spark):
+    """Near copies that are not all alike: links grow with the units, not with their square, and lose nothing that all pairs of the buckets give."""
+    random.seed(23)
+    text = lambda n: [f"g{random.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for g, (size, copies) in enumerate([(110, 160), (120, 60), (110, 8), (110, 2)]):
+        line = text(size)
+        for _ in range(copies):
+            own = list(line)
+            for k in random.sample(range(size), random.choice([1, 1, 1, 2])):
+                own[k] = f"edit{random.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows = [(i, x) for i, (_, x) in zip(random.sample(range(1000), len(rows)), rows)]
+    rows += [(d, a + "\n" + b) for (d, a), (_, b) in zip(rows[:9], rows[30:39])]  # lines of one document decide nothing about each other
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets, doc = {}, {}
+    for r in passages.units(docs, ("lines",), 25, "bands").collect():
+        buckets.setdefault(r.band, set()).add(r.key)
+        doc[r.key] = min(r.doc_id, doc.get(r.key, r.doc_id))
+    sets = {r.key: set(r.grams) for r in passages.units(docs, ("lines",), 25, "shingles").collect()}
+    met = {(a, b) for x in buckets.values() for a in x for b in x if a < b}
+    near = {(a, b) for a, b in met if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert len(near) > 20 * len(sets)  # a dense group
+    links = [(r.src, r.dst) for r in passages.near_units(docs, ("lines",), 25, 0.8).collect()]
+    assert {tuple(sorted(x)) for x in links} <= near and len(links) < 12 * len(sets)
+
+    def reached(pairs):
+        root = {k: k for k in sets}
+        find = lambda k: k if root[k] == k else find(root[k])
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        out = {}
+        for k in sets:
+            out.setdefault(find(k), set()).add(k)
+        return sorted(map(sorted, out.values()))
+
+    assert reached(links) == reached(near)
+    beside = {}
+    for a, b in near:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    kept = {}  # by document, as keys of one document decide nothing about each other
+    for k in sorted(sets, key=doc.get):
+        kept[k] = not any(kept.get(o) and doc[o] < doc[k] for o in beside.get(k, ()))
+    gone = {r.key: r.root for r in passages.kept_units(docs, ("lines",), 25, 0.8).collect()}
+    assert set(gone) == {k for k in sets if not kept[k]}
+    assert all(kept[r] and r in beside[k] and doc[r] < doc[k] for k, r in gone.items())
+
+
 def test_fingerprints(spark, odd_docs):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd_docs.where("doc_id <> 1 or doc_id is null").collect()))
     got = {r.doc_id: r for r in fingerprints.compare(odd_docs.where("doc_id <> 1 or doc_id is null")).collect()}
