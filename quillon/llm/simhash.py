@@ -121,17 +121,17 @@ def similar_dedup(docs: DataFrame, similarity: float = 0.8, n_bands: int = 16, n
     known = docs.where("doc_id is not null")
     texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(passages.units(texts, what, shingle).select("doc_id", "key").distinct(), "whole")
-    near = passages.near_units(texts, what, shingle, similarity, n_bands, n_rows)
     fps = written(fingerprints(texts, shingle).distinct().join(found, "doc_id", "left"), "simhash")
     first = written(fps.where("key is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).getField("key").alias("head")), "heads")
     close = near_links(first.select("fp", F.col("fp").alias("node")))
     ends = lambda name, end: first.select(F.col("fp").alias(name), F.col("head").alias(end))
     pairs = close.join(ends("src", "a"), "src").join(ends("dst", "b"), "dst").select("a", "b")
     pairs = pairs.union(fps.where("key is not null").join(first, "fp").select("key", "head")).where("a <> b").distinct()
-    pairs = written(pairs.join(near.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti"), "close")
+    pairs = written(pairs, "close")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    some = texts.join(found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi")
-    grams = written(passages.units(some, what, shingle, "shingles").dropDuplicates(["key"]), "grams")
+    also = found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    near, grams = passages.near_and_shingles(texts, what, shingle, similarity, n_bands, n_rows, also)
+    pairs = pairs.join(near.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
     both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("one")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("other")), "b")
     links = near.unionByName(both.where(passages.alike(F.col("one"), F.col("other"), similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     node = F.coalesce("key", F.xxhash64("fp", F.lit("short")))

@@ -306,6 +306,18 @@ def test_dense_groups_are_linked_by_leaders(spark):
     assert all(kept[r] and r in beside[k] and doc[r] < doc[k] for k, r in gone.items())
 
 
+def test_near_dedup_takes_shingles_once(spark, monkeypatch):
+    """Band and fingerprint candidates have their shingles from one pass over the texts, which are dealt out once."""
+    random.seed(29)
+    text = [f"n{random.randint(0, 10**6)}" for _ in range(120)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:-1], "edit"])), (3, " ".join(text)), (4, "of its own " + " ".join(reversed(text))), (5, None), (6, "")]
+    made, units = [], passages.units
+    monkeypatch.setattr(passages, "units", lambda docs, what, least, form="places", *a: made.append(form) or units(docs, what, least, form, *a))
+    kept = simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    assert made.count("shingles") == 1
+
+
 def test_fingerprints(spark, odd_docs):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in odd_docs.where("doc_id <> 1 or doc_id is null").collect()))
     got = {r.doc_id: r for r in fingerprints.compare(odd_docs.where("doc_id <> 1 or doc_id is null")).collect()}
