@@ -306,6 +306,47 @@ def test_dense_groups_are_linked_by_leaders(spark):
     assert all(kept[r] and r in beside[k] and doc[r] < doc[k] for k, r in gone.items())
 
 
+def test_units_are_dealt_out_once(spark, monkeypatch):
+    """A unit's shingles come from its first document only, also where copies stand beside other units that meet; repeated rows of a doc_id change nothing."""
+    random.seed(37)
+    text = lambda n: [f"d{random.randint(0, 10**6)}" for _ in range(n)]
+    common = text(60)
+    rows = [(100, " ".join(["edit", *common[1:]]))]
+    for i in range(24):
+        own = text(60)
+        rows += [(2 * i, " ".join(common) + "\n" + " ".join(own)), (2 * i + 1, " ".join(common) + "\n" + " ".join([*own[:-1], "edit"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keys, units = [], passages.units
+
+    def seen(docs, what, least, form="places", *a):
+        out = units(docs, what, least, form, *a)
+        keys.extend(r.key for r in (out.select("key").collect() if form == "shingles" else ()))
+        return out
+
+    monkeypatch.setattr(passages, "units", seen)
+    gone = {(r.key, r.root) for r in passages.kept_units(docs, ("lines",), 25, 0.8).collect()}
+    assert len(gone) == 25 and len(keys) == len(set(keys)) == 50
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    assert {(r.key, r.root) for r in passages.kept_units(twice, ("lines",), 25, 0.8).collect()} == gone
+
+
+def test_several(spark):
+    """Keys of two values at least with their least value, negative keys, keys of many batches and an empty table too."""
+    random.seed(38)
+    rows = [(random.choice([-1, 1]) * random.randint(0, 400) * 10**16, random.randint(0, 3)) for _ in range(900)] + [(7, 1)] * 300 + [(-7, k) for k in range(300)]
+    values = {}
+    for k, v in rows:
+        values.setdefault(k, set()).add(v)
+    pairs = lambda it: ((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it)
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = [(r.key, r.least) for r in passages.several(df, pairs, "key").collect()]
+    assert sorted(got) == sorted((k, min(v)) for k, v in values.items() if len(v) > 1)
+    assert passages.several(df.limit(0), pairs, "key").count() == 0
+    low = spark.range(4000).selectExpr("id % 2000 AS k", "id AS v")  # winnowed grams have low keys
+    shares = passages.several(low, pairs, "key").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in shares) == 2000 and max(r["count"] for r in shares) < 700
+
+
 def test_near_dedup_takes_shingles_once(spark, monkeypatch):
     """Band and fingerprint candidates have their shingles from one pass over the texts, which are dealt out once."""
     random.seed(29)
