@@ -372,7 +372,7 @@ def eval_metrics(spark, d):
 
 
 def _relevant(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id) of documents that hold a query's text: those with its second to sixth word in a row, then the text is looked for."""
+    """(query_id, id) of documents that hold a query's text as it stands, however short."""
     return evaluate.holders(asked.select("query_id", F.col("text").alias("passage")), docs.select(F.col("doc_id").alias("id"), "text"))
 
 
@@ -491,13 +491,14 @@ def eval_details(spark, d):
     label = F.struct(F.concat(F.lit("d"), F.col("id").cast("string")).alias("source"), F.array(F.lit(1)).alias("pages"))
     relevant = _relevant(asked, docs).groupBy("query_id").agg(F.collect_list(label).alias("relevant"))
     w = lambda n: F.try_element_at(F.regexp_extract_all("text", F.lit(X.WORD), F.lit(0)), F.lit(n))
-    evidence = F.array(F.array(w(1)), F.array(F.concat_ws(" ", w(2), w(3))), F.array(F.lit("qqzz"), w(5)))
+    evidence = F.array(F.array(w(1)), F.array(F.concat(w(2), F.lit(" "), w(3))), F.array(F.lit("qqzz"), w(5)))
     cases = asked.select("query_id", evidence.alias("answer_evidence")).join(relevant, "query_id")
     top = lexical.top(lexical.bm25_top(asked.withColumn("method", F.lit("lexical")), 5, chunks), 5, "id")
     cited = F.array(F.struct(F.concat(F.lit("d"), F.col("id").cast("string")).alias("source"), F.lit(1).alias("page")))
     hits = top.join(chunks.select("id", "context", "text"), "id").select("query_id", F.col("rank").alias("place"), F.col("id").cast("string").alias("id"), "context", "text", cited.alias("citations"))
     out = evaluate.case_details(cases, hits)
-    return out.select("query_id", "first_relevant_rank", F.round("page_recall", 6).alias("page_recall"), F.round("answer_evidence_recall", 6).alias("answer_evidence_recall"), F.array_join(F.transform("matched_answer_evidence", lambda x: x.cast("string")), ",").alias("matched"), F.array_join("retrieved_ids", ",").alias("retrieved_ids"))
+    known = ~F.exists("matched_answer_evidence", lambda x: x.isNull())  # a short item has no such words
+    return out.select("query_id", "first_relevant_rank", F.round("page_recall", 6).alias("page_recall"), F.when(known, F.round("answer_evidence_recall", 6)).alias("answer_evidence_recall"), F.array_join(F.transform("matched_answer_evidence", lambda x: x.cast("string")), ",").alias("matched"), F.array_join("retrieved_ids", ",").alias("retrieved_ids"))
 
 
 @_query()

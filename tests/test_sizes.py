@@ -38,6 +38,19 @@ def test_holders_of_passages_equal_brute_force(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_holders_of_short_and_cut_passages_equal_brute_force(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon zetaX", "Ünder\tß end\n\n--", "b c", "a", "", None, "a" * 50, "z" * ((1 << 18) - 3) + "over the edge of it, and then more than thirty-two bytes"]
+    texts += ["one head of more than thirty-two bytes, then this", "one head of more than thirty-two bytes, then that", "en", "d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    passages = ["alpha beta gamma delta epsilon zet", "beta gamma", "amma del", "a", "ß", "ß e", "\n\n", " ", "", None, "ab", "end", "nd", "never there", "a" * 31, "a" * 32, "a" * 33, "a" * 51]
+    passages += ["zover the edge", "over the edge of it, and then more than thirty-two bytes", "zz", "one head of more than thirty-two bytes, then", "one head of more than thirty-two bytes, then that", "one head of more than thirty-two bytes, then none", "a"]
+    asked = list(enumerate(passages))
+    want = sorted((q, d) for q, p in asked if p is not None for d, t in enumerate(texts) if t is not None and p in t)
+    for block in (7, 4096):
+        found = evaluate.holders(spark.createDataFrame(asked, "query_id long, passage string"), docs, block)
+        assert sorted(map(tuple, found.collect())) == want
+
+
 def test_long_texts_are_encoded_without_a_shuffle(spark):
     class Spy(dense.Letters):
         def encode_documents(self, texts):
